@@ -8,6 +8,7 @@ from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .sharding import assign_shards
+from .toxicity import toxicity_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_documents(spark, sf_dir), shards=24)
 
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
