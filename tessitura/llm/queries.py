@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .mixing import mix_sources
+from .quality import quality_report
 from .sharding import assign_shards
 from .toxicity import toxicity_report
 
@@ -27,6 +28,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_documents(spark, sf_dir), shards=24)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
