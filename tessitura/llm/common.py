@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -67,6 +67,43 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordTable(dict):
+    """bytes -> row of per-word facts, computed once per frequent word of a task.
+
+    ``fact`` gives the integers of a word, one per column. The table is emptied
+    when it holds ``most`` words, so it stays bounded whatever the vocabulary.
+    """
+
+    def __init__(self, fact: Callable[[bytes], tuple[int, ...]], columns: int, most: int = 150_000) -> None:
+        super().__init__()
+        self.fact, self.columns, self.most = fact, columns, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.new: list[tuple[int, ...]] = []
+        self.table = np.zeros((1024, self.columns), np.uint64)
+        self.filled = 0
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.filled + len(self.new)
+        self.new.append(self.fact(word))
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """One row of facts per word."""
+        if len(self) > self.most:
+            self._reset()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            n = self.filled + len(self.new)
+            while n > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self.filled : n] = np.array(self.new, np.uint64)
+            self.filled, self.new = n, []
+        return self.table[at]
+
+
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
      0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],

@@ -19,8 +19,9 @@ GOLDEN = 0.6180339887498949
 #: The mix has about this many slots, and a block this many words at least.
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
-#: Slots per chunk when slots are ranked.
+#: Slots per chunk when slots are ranked, and cells of the scale of weights.
 CHUNK = 4096
+CELLS = 4096
 
 
 def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
@@ -100,10 +101,20 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     point = F.col("slot") * F.lit(GOLDEN)
     points = spark.range(0, slots, 1, partitions(spark)).withColumnRenamed("id", "slot")
     points = points.withColumn("point", (point - F.floor(point)) * F.lit(float(slots)))
-    # A range join with the plan: one row per source.
-    of = plan.where("slots > 0").select(F.col("source").alias("of_source"), "low", "high", "all", "blocks")
+    # Each source owns a stretch of the scale. Cutting the scale into cells makes
+    # finding a point's source an equality join on the cell.
     scale = F.col("point") * F.col("all") / F.lit(float(max(slots, 1)))
-    dealt = points.join(of, (scale >= F.col("low")) & (scale < F.col("high"))).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    cell = lambda at: F.least(F.floor(at / F.lit(float(max(slots, 1))) * CELLS), F.lit(CELLS - 1))
+    of = plan.where("slots > 0").select(
+        F.col("source").alias("of_source"), "low", "high", "all", "blocks",
+        F.explode(F.sequence(F.greatest(cell(F.col("low")) - 1, F.lit(0)), F.least(cell(F.col("high")) + 1, F.lit(CELLS - 1)))).alias("cell"),
+    )
+    dealt = (
+        points.withColumn("cell", cell(F.col("point")))
+        .join(of, "cell")
+        .where((scale >= F.col("low")) & (scale < F.col("high")))
+        .withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    )
     counts = dealt.groupBy("of_source", "chunk").agg(F.count("*").alias("n"))
     first = counts.withColumn(
         "ahead", F.coalesce(F.sum("n").over(Window.partitionBy("of_source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

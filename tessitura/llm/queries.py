@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .quality import quality_report
 from .sharding import assign_shards
+from .token_count import count_tokens, sentencepiece_vocabulary
 from .toxicity import toxicity_report
+from .url_filter import judge_urls, labelled_urls
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labelled_urls(spark))
+
+
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), sentencepiece_vocabulary(VOCABULARY))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -24,10 +38,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_documents(spark, sf_dir), shards=24)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -41,9 +63,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_token_count": op2_token_count,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
