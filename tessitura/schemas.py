@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 SCHEMA_VERSION = "1.0.0"
 
 
-def _of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+_KINDS = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType()}
+
+
+def _of(columns: str) -> StructType:
+    """From ``name type`` pairs; needs no session."""
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
 NOTE = _of("piece_id long, tick long, channel int, pitch int, velocity int, duration_ticks long")

@@ -1 +1 @@
-
+"""Scans and sinks: MIDI files, manifests, tables of results."""
