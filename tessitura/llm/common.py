@@ -130,10 +130,13 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def raw_texts(column) -> Iterator[bytes | None]:
-    """The UTF-8 bytes of an Arrow string column, null as None."""
+    """The UTF-8 bytes of an Arrow string column one by one, null as None; the
+    batch is not copied as a whole."""
     import pyarrow as pa
 
-    return iter(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist())
+    view = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for i in range(len(view)):
+        yield view[i].as_py()
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -35,7 +35,7 @@ WIDTH = 5
 #: Overlap counting cuts the order into this many fragments.
 COUNT_FRAGMENTS = 4
 #: Shingles per packed batch, and the sets of one batch that make an n-gram hot.
-BATCH = 1_000_000
+BATCH = 500_000
 HOT = 64
 LOW_BITS = 40
 MOST = (1 << 31) - 1
@@ -68,16 +68,15 @@ def _pack(sig: np.ndarray, n: np.ndarray, count: np.ndarray, low: np.ndarray, ho
     return b"".join((head, sig.astype("<u8").tobytes(), n.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _five(low), _five(hot)))
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """sig and n for each n-gram, the n-grams, the hot n-grams."""
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """sig, n and number of n-grams of each set, the n-grams, the hot n-grams."""
     k, m, h = np.frombuffer(raw, "<i8", 3)
     at = 24
     sig = np.frombuffer(raw, "<u8", k, at)
     n = np.frombuffer(raw, "<u4", k, at := at + 8 * k)
     count = np.frombuffer(raw, "<u4", k, at := at + 4 * k)
     at += 4 * k
-    low, hot = _from_five(raw[at : at + 5 * m]), _from_five(raw[at + 5 * m : at + 5 * (m + h)])
-    return np.repeat(sig, count), np.repeat(n, count), low, hot
+    return sig, n, count, _from_five(raw[at : at + 5 * m]), _from_five(raw[at + 5 * m : at + 5 * (m + h)])
 
 
 def _batch_rows(sets: list[np.ndarray], sigs: list[int], fragments: int, salt: int) -> Iterator[tuple[int, bytes]]:
@@ -165,15 +164,17 @@ def _counter(fragments: int):
 
     def shared(fragment: int, payloads: list[bytes]) -> pa.Table:
         parts = [_unpack(p) for p in payloads]
-        sig, n, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        hot = np.unique(np.concatenate([p[3] for p in parts]))
+        sig, n, count, low = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        hot = np.unique(np.concatenate([p[4] for p in parts]))
+        del parts
         ordered = np.sort(low)
         twice = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], hot]))
         if not len(twice):
             return _table([], [], [], [])
         at = np.minimum(np.searchsorted(twice, low), len(twice) - 1)
         keep = np.flatnonzero(twice[at] == low)
-        sig, n, at = sig[keep], n[keep], at[keep]
+        of = np.repeat(np.arange(len(sig), dtype=np.uint32), count)[keep]
+        sig, n, at = sig[of], n[of], at[keep]
         order = np.lexsort((sig, at))
         sig, n, at = sig[order], n[order], at[order]
         new = np.ones(len(at), bool)
@@ -199,7 +200,8 @@ def _counter(fragments: int):
             return shared(key, payloads)
         out = []
         for p in payloads:
-            sig, n, low, fragment = _unpack(p)
+            sig, n, count, low, fragment = _unpack(p)
+            sig, n = np.repeat(sig, count), np.repeat(n, count)
             s = low.astype(np.int64) + (fragment.astype(np.int64) << LOW_BITS)
             out.append(_table(n, sig.view(np.int64), s, np.full(len(s), MOST)))
         docs = group.filter(pa.compute.is_null(group.column("payload")))
