@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and freed of edge punctuation; numbers, units after
-numbers, and names (capitalised words inside a sentence) become typed
-placeholders. Windows of such templates are hash-joined with those of the
+numbers, and names (capitalised words, wherever they stand, so that a passage
+has one template in any context) become typed placeholders. Windows of such templates are hash-joined with those of the
 benchmark, and the values behind the placeholders are compared along each
 alignment: one benchmark value must always stand for one document value. So
 re-parameterised questions match, and texts that only share a shape do not.
@@ -40,21 +40,20 @@ UNITS = frozenset(
 )
 
 
-def _fact(word: bytes) -> tuple[int, int, int]:
-    """(kind, hash of the bare lower-case word, whether a sentence ends here)."""
+def _fact(word: bytes) -> tuple[int, int]:
+    """(kind, hash of the bare lower-case word)."""
     bare = word.strip(EDGES)
-    ends = int(word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":"))
     if not bare:
-        return EMPTY, 0, ends
+        return EMPTY, 0
     if _NUMBER.match(bare):
-        return NUMBER, 0, ends
+        return NUMBER, 0
     low = bare.lower()
     kind = LITERAL
     if low in UNITS:
         kind = UNIT
     elif len(text := bare.decode("utf-8", "replace")) > 1 and text[0].isupper() and text[1:].islower():
         kind = NAME
-    return kind, xxhash.xxh3_64_intdigest(text.lower().encode() if kind == NAME else low), ends
+    return kind, xxhash.xxh3_64_intdigest(low)
 
 
 def template(text: bytes | None, known: WordTable) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -65,10 +64,7 @@ def template(text: bytes | None, known: WordTable) -> tuple[list[bytes], np.ndar
     facts = known.of(words)
     kind = facts[:, 0].astype(np.int64)
     real = np.flatnonzero(kind != EMPTY)
-    starts = np.concatenate([[True], facts[:-1, 2] == 1])
-    # An empty word that ends a sentence passes that on to the next word.
-    kind, hashes, starts = kind[real], facts[real, 1], starts[real]
-    kind[(kind == NAME) & starts] = LITERAL
+    kind, hashes = kind[real], facts[real, 1]
     after = np.concatenate([[False], kind[:-1] == NUMBER])
     kind[(kind == UNIT) & ~after] = LITERAL
     hashes = np.where(kind == LITERAL, hashes, kind.astype(np.uint64))
@@ -96,7 +92,7 @@ _OUT = "id long, at int, hash long, slots array<string>, total int"
 
 def _windowed(table: DataFrame, key: str, width: int, bits=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTable(_fact, 3)
+        known = WordTable(_fact, 2)
         near = None if bits is None else np.unpackbits(np.frombuffer(bits.value[0], np.uint8)).astype(bool)
         widths = None if bits is None else bits.value[1]
         for batch in batches:

@@ -104,13 +104,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     # Each source owns a stretch of the scale. Cutting the scale into cells makes
     # finding a point's source an equality join on the cell.
     scale = F.col("point") * F.col("all") / F.lit(float(max(slots, 1)))
-    cell = lambda at: F.least(F.floor(at / F.lit(float(max(slots, 1))) * CELLS), F.lit(CELLS - 1))
+    cell = lambda share: F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
     of = plan.where("slots > 0").select(
         F.col("source").alias("of_source"), "low", "high", "all", "blocks",
-        F.explode(F.sequence(F.greatest(cell(F.col("low")) - 1, F.lit(0)), F.least(cell(F.col("high")) + 1, F.lit(CELLS - 1)))).alias("cell"),
+        F.explode(F.sequence(F.greatest(cell(F.col("low") / F.col("all")) - 1, F.lit(0)), F.least(cell(F.col("high") / F.col("all")) + 1, F.lit(CELLS - 1)))).alias("cell"),
     )
     dealt = (
-        points.withColumn("cell", cell(F.col("point")))
+        points.withColumn("cell", cell(F.col("point") / F.lit(float(max(slots, 1)))))
         .join(of, "cell")
         .where((scale >= F.col("low")) & (scale < F.col("high")))
         .withColumn("chunk", F.floor(F.col("slot") / CHUNK))

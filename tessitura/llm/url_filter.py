@@ -32,13 +32,16 @@ UNWANTED = ("casino-win", "cheap-pills", "spam-farm", "free-bets", "ads-track",
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, block): every first label with a few domains and paths."""
+    """(url, block): every first label under every subdomain and domain, with
+    the same paths on both sides, so that hosts tell them apart."""
     rows = []
-    for block, names in ((0, WANTED), (1, UNWANTED)):
+    for block, names in ((0, WANTED), (1, UNWANTED + UNWANTED)):
         for i, name in enumerate(names):
-            for j, (sub, top) in enumerate((("", "example.com"), ("www.", "example.net"), ("blog.", "example.org"), ("m.", "example.com"))):
-                path = (f"/en/{17 * i + j}", f"/de/{31 * i + j}.html", f"/fr/{7 * i + j}/", f"/es/{13 * i + j}")[j]
-                rows.append((f"https://{sub}{name}.{top}{path}", block))
+            for j, sub in enumerate(("", "www.", "blog.", "m.")):
+                for k, domain in enumerate(("example.com", "example.net", "example.org")):
+                    n = 7 * i + 3 * j + k
+                    path = (f"/en/{n}", f"/de/{n}.html", f"/fr/{n}/", f"/es/{n}", "/", "")[n % 6]
+                    rows.append((f"https://{sub}{name}.{domain}{path}", block))
     return spark.createDataFrame(rows, "url string, block int")
 
 
@@ -89,7 +92,7 @@ def fit_weights(labelled: DataFrame) -> tuple[list[float], float]:
     dense = summed.groupBy("row", F.col("block").cast("double").alias("label")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
     vector = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))))
     ready = dense.orderBy("row").coalesce(1).select("label", vector.alias("features"))  # a small labelled table
-    model = LogisticRegression(regParam=1e-4, maxIter=60, standardization=False, tol=1e-7).fit(ready)
+    model = LogisticRegression(regParam=1e-6, maxIter=100, standardization=False, tol=1e-8).fit(ready)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
