@@ -9,8 +9,10 @@ from .common import checkpointed
 
 
 def _smallest(arrows: DataFrame) -> DataFrame:
-    """(u, m): the least of u and what its arrows point to; combined map-side."""
-    return arrows.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, m): the least of u and what its arrows point to; combined map-side.
+    Checkpointed, so that a join with it is a stage of its own that adaptive
+    execution can split where a node has very many links."""
+    return checkpointed(arrows.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

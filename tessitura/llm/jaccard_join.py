@@ -267,7 +267,9 @@ def near_duplicates(docs: DataFrame, fragments: int | None = None) -> DataFrame:
         .select("sig", "n", "s", (F.col("own") + F.col("at")).alias("at"))
     )
     rank = F.struct((F.col("at") / F.col("n")).alias("share"), "sig", "n", "at")
-    buckets = index.groupBy("s").agg(F.count("*").alias("members"), F.min(rank).alias("lead")).where("members > 1")
+    # Aggregates that a hot key is joined with are checkpointed: the join is then
+    # a stage of its own, which adaptive execution can split.
+    buckets = checkpointed(index.groupBy("s").agg(F.count("*").alias("members"), F.min(rank).alias("lead")).where("members > 1"))
 
     def possible(n1, at1, n2, at2):
         longer, shorter = F.greatest(n1, n2), F.least(n1, n2)
@@ -285,7 +287,7 @@ def near_duplicates(docs: DataFrame, fragments: int | None = None) -> DataFrame:
     # Buckets that still hold more than one component: all their pairs across
     # components. One member at least is outside the bucket's first component.
     known = index.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    apart = known.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = checkpointed(known.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
     known = checkpointed(known.join(apart.select("s", "low"), "s"))
     x = known.where("root <> low").select("s", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "at", "root")))
     y = known.select("s", *(F.col(c).alias(f"y_{c}") for c in ("sig", "n", "at", "root")))
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, fragments: int | None = None) -> DataFrame:
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     joined = checkpointed(classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    names = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    names = checkpointed(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = joined.join(names, "root").select("sig", "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.where("n > 0").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionAll(empty)
