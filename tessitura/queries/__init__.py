@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, features, melody, meter, models, notes, openset, rolls, statistics, streams, tasks, text  # noqa: F401
+from . import audits, content, features, melody, meter, models, notes, openset, rolls, statistics, streams, tasks, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
