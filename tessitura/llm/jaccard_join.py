@@ -146,9 +146,7 @@ def _packer(fragments: int):
                         yield packed()
                         sets, sigs, held = [], [], 0
             sig = np.array(marks, np.uint64).view(np.int64)
-            key = fragments + (np.array(marks, np.uint64) % np.uint64(fragments)).astype(np.int32)
-            if len(sig):
-                key = (fragments + (np.arange(len(sig)) * 31 + len(sig)) % fragments).astype(np.int32)
+            key = fragments + np.arange(len(sig), dtype=np.int32) % fragments  # spread evenly
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int32()), pa.nulls(len(sig), pa.binary()), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sig)],
                 ["key", "payload", "doc_id", "n", "sig"],
