@@ -79,7 +79,7 @@ def track_events(raw: bytes, begin: int, end: int) -> Iterable[Event]:
             size, at = _number(raw, at + 1, end)
             data, at = raw[at : at + size], at + size
             if at > end:
-                raise SmfError("meta event cut off", at)
+                raise SmfError("meta event cut off", end)
             status = 0
             if kind == 0x2F:
                 yield seq, tick, "end_of_track", None, None, None, None, None, None, None
@@ -95,6 +95,8 @@ def track_events(raw: bytes, begin: int, end: int) -> Iterable[Event]:
         elif status in (0xF0, 0xF7):
             size, at = _number(raw, at, end)
             at += size
+            if at > end:
+                raise SmfError("system message cut off", end)
             status = 0
             continue
         else:
