@@ -71,23 +71,20 @@ def template(text: bytes | None, known: WordTable) -> tuple[list[bytes], np.ndar
     return [words[i] for i in real], hashes, kind
 
 
-def windows(text: bytes | None, known: WordTable, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, int]:
-    """(positions, hashes) of the windows that are half literal at least, the
-    words and kinds they come from, and the window width. A shorter text is
-    one window."""
-    words, hashes, kind = template(text, known)
-    width = max(1, min(width, len(words)))
+def windows(hashes: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the windows of a template that are half literal
+    at least."""
     found = window_hashes(hashes, width) + np.uint64(width)
     literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
     at = np.flatnonzero(2 * (literal[width:] - literal[:-width]) >= width) if len(found) else np.zeros(0, np.int64)
-    return at, found[at], words, kind, width
+    return at, found[at]
 
 
 def _slots(at: int, width: int, words: list[bytes], kind: np.ndarray) -> list[str]:
     return [words[i].strip(EDGES).lower().decode("utf-8", "replace") for i in range(at, at + width) if kind[i] != LITERAL]
 
 
-_OUT = "id long, at int, hash long, slots array<string>, total int"
+_OUT = "id long, at int, hash long, slots array<string>, total int, wide int"
 
 
 def _windowed(table: DataFrame, key: str, width: int, bits=None) -> DataFrame:
@@ -98,19 +95,18 @@ def _windowed(table: DataFrame, key: str, width: int, bits=None) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                for w in [width] if widths is None else widths:
-                    at, found, words, kind, got = windows(text, known, w)
+                words, hashes, kind = template(text, known)
+                # A short item is one window; documents have windows of every such width.
+                for w in ([min(width, len(words))] if widths is None else widths) if words else ():
+                    at, found = windows(hashes, kind, w)
+                    total = len(at)
                     if near is not None:
                         hit = near[(found & np.uint64(BITS - 1)).astype(np.int64)] & near[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)]
-                        total, at, found = len(at), at[hit], found[hit]
-                        if got != w:
-                            at = at[:0]
-                    else:
-                        total = len(at)
-                    rows.extend((key, a, h, _slots(a, got, words, kind), total) for a, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=False))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "total"])
+                        at, found = at[hit], found[hit]
+                    rows.extend((key, a, h, _slots(a, w, words, kind), total, w) for a, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "total", "wide"])
 
     return table.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
@@ -133,10 +129,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     # At most BITS rows, whatever the size of the benchmark.
     marks = items.select(F.explode(F.array(F.pmod("hash", F.lit(BITS)), F.pmod(F.shiftrightunsigned("hash", 40), F.lit(BITS)))).alias("bit")).distinct()
     on = np.zeros(BITS, np.uint8)
-    on[[r.bit for r in marks.collect()]] = 1
-    lengths = benchmark.select(F.size(F.split(F.trim("text"), r"\s+")).alias("n")).where(F.col("n") < width).distinct()
-    short = sorted(r.n for r in lengths.collect())  # fewer than `width` rows
-    bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), [width, *range(1, max(short) + 1)] if short else [width]))
+    on[marks.toArrow().column("bit").to_numpy()] = 1
+    wides = sorted({width, *(r.wide for r in items.select("wide").distinct().collect())})  # at most `width` values
+    bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), wides))
 
     left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
     right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "total")
