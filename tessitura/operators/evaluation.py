@@ -5,26 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import r6, ratio
+from ..functions.scalar import hash_bits, r6, ratio
 
 
-def centroid_predictions(long: DataFrame, samples: DataFrame, key: str = "piece_id", label: str = "composer") -> DataFrame:
-    """(key, fold, true_label, predicted_label, distance): nearest class mean,
-    means over the other folds only.
+def centroid_predictions(long: DataFrame, samples: DataFrame, key: str = "piece_id", label: str = "composer", by: list[str] | None = None) -> DataFrame:
+    """(by, key, fold, true_label, predicted_label, distance): nearest class
+    mean, means over the other folds only.
 
     Means of all folds but one come from sums per (fold, label), so the data
-    are aggregated once. ``long``: (key, idx, value).
+    are aggregated once. ``long``: (key, idx, value); ``samples`` may have
+    several labellings, told apart by ``by``.
     """
-    cells = long.join(samples.select(key, label, "fold"), key)
-    sums = cells.groupBy("fold", label, "idx").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    total = sums.groupBy(label, "idx").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    by = by or []
+    cells = long.join(samples.select(*by, key, label, "fold"), key)
+    sums = cells.groupBy(*by, "fold", label, "idx").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    total = sums.groupBy(*by, label, "idx").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     folds = samples.select("fold").distinct()
-    means = total.join(F.broadcast(folds)).join(sums, ["fold", label, "idx"], "left")  # a few folds
-    means = means.select("fold", F.col(label).alias("_label"), "idx", F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))).alias("mean"))
+    means = total.join(F.broadcast(folds)).join(sums, [*by, "fold", label, "idx"], "left")  # a few folds
+    means = means.select(*by, "fold", F.col(label).alias("_label"), "idx", F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))).alias("mean"))
     d = F.col("value") - F.col("mean")
-    scored = cells.join(means.where("mean IS NOT NULL"), ["fold", "idx"]).groupBy(key, "fold", label, "_label").agg(F.sqrt(F.sum(d * d)).alias("d"))
+    scored = cells.join(means.where("mean IS NOT NULL"), [*by, "fold", "idx"]).groupBy(*by, key, "fold", label, "_label").agg(F.sqrt(F.sum(d * d)).alias("d"))
     best = F.min(F.struct(r6(F.col("d")).alias("d"), F.col("_label")))
-    return scored.groupBy(key, "fold", F.col(label).alias("true_label")).agg(best.alias("b")).select(key, "fold", "true_label", F.col("b._label").alias("predicted_label"), F.col("b.d").alias("distance"))
+    return scored.groupBy(*by, key, "fold", F.col(label).alias("true_label")).agg(best.alias("b")).select(*by, key, "fold", "true_label", F.col("b._label").alias("predicted_label"), F.col("b.d").alias("distance"))
+
+
+def retrained_permutation(long: DataFrame, samples: DataFrame, permutations: int, seed: int, key: str = "piece_id", label: str = "composer") -> DataFrame:
+    """(draw, accuracy) of the centroid model trained and tested anew on labels
+    that are dealt among whole groups; draw 0 has the true labels.
+    ``samples``: (key, group_id, label, fold). All draws run in one plan."""
+    groups = samples.select("group_id", label).distinct()
+    each = groups.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    w = Window.partitionBy("draw")
+    chance = F.when(F.col("draw") == 0, F.col("group_id").cast("decimal(20,0)")).otherwise(hash_bits(F.lit(seed), F.col("draw"), F.col("group_id")))
+    own = each.select("draw", "group_id", F.row_number().over(w.orderBy("group_id")).alias("_at"))
+    dealt = each.select("draw", label, F.row_number().over(w.orderBy(chance, "group_id")).alias("_at"))
+    anew = own.join(dealt, ["draw", "_at"]).join(samples.select(key, "group_id", "fold"), "group_id")
+    found = centroid_predictions(long, anew, key, label, ["draw"])
+    return found.groupBy("draw").agg(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double")).alias("accuracy"))
+
+
+def permutation_p(draws: DataFrame) -> DataFrame:
+    """(observed, p) from (draw, accuracy) with the truth as draw 0."""
+    sums = draws.agg(F.max(F.when(F.col("draw") == 0, F.col("accuracy"))).alias("observed"), F.sort_array(F.collect_list(F.when(F.col("draw") > 0, F.col("accuracy")))).alias("_all"))
+    k = F.size(F.filter("_all", lambda x: x >= F.col("observed") - 1e-12))
+    return sums.select("observed", ((k + 1) / (F.size("_all") + 1)).alias("p"))
 
 
 def confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -127,8 +151,6 @@ def permutation_drop(scored, vectors: DataFrame, features: list[int], repeats: i
     """(feature, mean_drop, std_drop) of accuracy when a feature's values are
     dealt among the rows anew. ``scored`` turns a DataFrame with ``vector`` into
     one with predicted_label; all shuffles are scored in one pass."""
-    from ..functions.scalar import hash_bits
-
     plan = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("again")) for f in features for r in range(repeats)]))
     rows = vectors.withColumn("p", plan).select("*", "p.*").drop("p")
     key = Window.partitionBy("feature", "again")

@@ -72,6 +72,31 @@ def probability_alignment(s):
     return evaluation.aligned_probabilities(scores, s.piece.select(F.col("composer").alias("label")).distinct(), ["piece_id"])
 
 
+DRAWS = f"""WITH e AS (SELECT DISTINCT group_id, composer, d AS draw FROM piece, (SELECT unnest(range(10)) AS d)),
+    o AS (SELECT draw, group_id, row_number() OVER (PARTITION BY draw ORDER BY group_id) AS spot FROM e),
+    z AS (SELECT draw, composer, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw = 0 THEN group_id::UBIGINT ELSE CAST(('0x' || substr(sha256('12|' || draw || '|' || group_id), 1, 16)) AS UBIGINT) END, group_id) AS spot FROM e),
+    v AS MATERIALIZED (SELECT draw, p.piece_id, p.fold, z.composer, idx, value FROM o JOIN z USING (draw, spot) JOIN piece p USING (group_id) JOIN ({PC}) v USING (piece_id)),
+    m AS (SELECT t.draw, f.fold, t.composer, t.idx, avg(t.value) AS mean FROM (SELECT DISTINCT fold FROM piece) f JOIN v t ON t.fold <> f.fold GROUP BY ALL),
+    s AS (SELECT draw, piece_id, v.composer AS true_label, m.composer AS guess, round(sqrt(sum((value - mean) ** 2)), 6) + 0.0 AS d FROM v JOIN m USING (draw, fold, idx) GROUP BY ALL),
+    b AS (SELECT draw, piece_id, true_label, arg_min(guess, (d, guess)) AS predicted_label FROM s GROUP BY ALL)
+    SELECT CAST(draw AS INTEGER) AS draw, avg(CAST(true_label = predicted_label AS INTEGER)) AS accuracy FROM b GROUP BY draw"""
+
+
+def _draws(s):
+    long = histograms.histogram(s.note, F.pmod("pitch", F.lit(12)), 12).select("piece_id", F.posexplode("values").alias("idx", "value"))
+    return evaluation.retrained_permutation(long, s.piece, 9, 12)
+
+
+@query(DRAWS, rounds="accuracy")
+def retrained_permutation(s):
+    return _draws(s)
+
+
+@query(f"SELECT max(CASE WHEN draw = 0 THEN accuracy END) AS observed, (count(CASE WHEN draw > 0 AND accuracy >= (SELECT accuracy FROM ({DRAWS}) o WHERE draw = 0) - 1e-12 THEN 1 END) + 1) / 10.0::DOUBLE AS p FROM ({DRAWS}) d", rounds="observed p")
+def retrained_permutation_p(s):
+    return evaluation.permutation_p(_draws(s))
+
+
 @query("SELECT fold, composer, count(*) AS n FROM piece GROUP BY GROUPING SETS ((fold), (fold, composer))")
 def split_counts(s):
     return contracts.split_counts(s.piece, ["fold"], "composer")
