@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, raw_texts
+from .common import mixed, raw_texts, shipped
 from .labelled import remainder, training_sample
 
 BUCKETS = 1 << 18
@@ -145,10 +145,10 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score of every row of ``docs`` (doc_id, text), over whole
     texts. Null and empty texts get the score of no features. Other columns
     are ignored; rows may repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    load = shipped(docs.sparkSession, model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, of = shared.value, Featurizer()
+        model, of = load(), Featurizer()
         for batch in batches:
             scores = [model.score(*of(t)) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import raw_texts, shipped
 
 START = "▁"
 NONE = -1
@@ -104,10 +104,10 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     Words are what ASCII white space separates, over whole texts; null and
     empty texts have none. Other columns are ignored; rows may repeat.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(pieces))  # as large as the vocabulary
+    load = shipped(docs.sparkSession, LongestMatch(pieces))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(automaton.value)
+        counts = _Counts(load())
         for batch in batches:
             words, tokens = [], []
             for text in raw_texts(batch.column(1)):
