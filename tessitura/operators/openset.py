@@ -28,27 +28,43 @@ def score_counts(scores: DataFrame) -> DataFrame:
     return scores.groupBy("score").agg(F.count_if("is_known").alias("pos"), F.count_if(~F.col("is_known")).alias("neg"))
 
 
+def running_sums(df: DataFrame, order: str, values: list[str], ascending: bool = True, stretches: int = 64) -> DataFrame:
+    """Adds ``<value>_upto`` per value: its sum over rows up to and with this
+    one by ``order``, whose values are distinct.
+
+    The order is cut into stretches at approximate quantiles; sums within a
+    stretch add to the sums of the stretches before, so no task sees all rows.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / stretches for i in range(1, stretches)], 0.002)))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    placed = df.withColumn("_at", at)
+    way = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    before = Window.orderBy(way("_at")).rowsBetween(Window.unboundedPreceding, -1)  # over the stretches
+    ahead = placed.groupBy("_at").agg(*[F.sum(v).alias(v) for v in values]).select("_at", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy("_at").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.join(F.broadcast(ahead), "_at")
+    return met.select(*df.columns, *[(F.sum(v).over(within) + F.col(f"_{v}")).alias(f"{v}_upto") for v in values])
+
+
 def curve(scores: DataFrame) -> DataFrame:
     """(score, tp, fp, pos, neg, tpr, fpr, precision): accepting each distinct
     score and all above it."""
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    c = score_counts(scores).select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("pos"), F.sum("neg").over(every).alias("neg"))
+    counts = score_counts(scores)
+    sums = running_sums(counts, "score", ["pos", "neg"], ascending=False).join(F.broadcast(counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))))
+    c = sums.select("score", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("p").alias("pos"), F.col("n").alias("neg"), F.col("pos").alias("here"))
     return c.withColumns({"tpr": ratio(F.col("tp"), F.col("pos")), "fpr": ratio(F.col("fp"), F.col("neg")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"))})
 
 
 def auroc(scores: DataFrame) -> DataFrame:
     """(auroc): rank sum with average ranks of ties."""
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = score_counts(scores).withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0)))
-    sums = c.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    c = running_sums(score_counts(scores), "score", ["neg"])
+    sums = c.agg(F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(ratio(F.col("u"), F.col("p") * F.col("n")).alias("auroc"))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
     """(auprc): precision summed over steps of recall."""
-    c = curve(scores).withColumn("step", F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.orderBy(F.col("score").desc())), F.lit(0.0)))
-    return c.agg(F.sum(F.col("step") * F.col("precision")).alias("auprc"))
+    return curve(scores).agg(F.sum(ratio(F.col("here"), F.col("pos")) * F.col("precision")).alias("auprc"))
 
 
 def fpr_at_tpr(scores: DataFrame, tpr: float) -> DataFrame:
