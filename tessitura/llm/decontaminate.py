@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, raw_texts, staged, window_hashes
+from .common import WordTable, raw_texts, small_batches, staged, window_hashes
 
 WINDOW = 8
 #: Share of an item's windows that a document must have, consistently.
@@ -135,11 +135,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
 
     left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
     right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "total")
-    met = staged(
-        left.join(right, "hash")
-        .where(F.size("doc_slots") == F.size("item_slots"))
-        .withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    )
+    with small_batches(spark):
+        met = staged(
+            left.join(right, "hash")
+            .where(F.size("doc_slots") == F.size("item_slots"))
+            .withColumn("shift", F.col("doc_at") - F.col("item_at"))
+        )
     line = ["doc_id", "item_id", "shift"]
     values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select(*line, "x.*").distinct()
     wrong = values.groupBy(*line, "item_slots").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()

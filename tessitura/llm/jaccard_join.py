@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, partitions, raw_texts, staged, window_hashes
+from .common import WordHashes, checkpointed, partitions, raw_texts, small_batches, staged, window_hashes
 from .components import components
 
 WIDTH = 5
@@ -243,12 +243,13 @@ def near_duplicates(docs: DataFrame, fragments: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     fragments = fragments or max(32, partitions(spark))
-    table = staged(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(_packer(fragments), _SCHEMA)
-        .groupBy("key")
-        .applyInArrow(_counter(fragments), _ENTRIES)
-    )
+    with small_batches(spark):
+        table = staged(
+            docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+            .mapInArrow(_packer(fragments), _SCHEMA)
+            .groupBy("key")
+            .applyInArrow(_counter(fragments), _ENTRIES)
+        )
     rows = table.where("s IS NULL").select("doc_id", "n", "sig")
     prefix = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
     # What a set shares with others, rarest first. Its own n-grams come before.
