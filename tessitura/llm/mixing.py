@@ -127,8 +127,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
         .agg(F.count("*").alias("uses"))
     )
 
+    # What a source's rows need comes with their cell, so no row meets the plan by source alone.
+    starts = starts.join(plan.select(F.col("source").alias("of"), "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keyed = placed.join(starts.withColumnsRenamed({"source": "s", "cell": "c"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    keyed = keyed.join(F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "target", "blocks")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     keyed = keyed.withColumn("begin", F.col("cell_start") + F.col("inside")).withColumn("row", F.monotonically_increasing_id())
     keyed = checkpointed(keyed)
     # Block k of a source has the words from floor(k * size / blocks) on.

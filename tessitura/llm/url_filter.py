@@ -9,6 +9,8 @@ shuffled.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,22 +28,36 @@ RULES: dict[str, str] = {
     "com/de/": "block",
 }
 
-#: First labels of hosts to make the labelled table from, by what a crawl wants.
-WANTED = ("news", "docs", "wiki", "library", "museum", "science", "history", "garden", "recipes", "travel", "weather", "journal", "school", "music", "books", "tionsh", "ththre", "theren", "ththing", "thered")
-UNWANTED = ("casino-win", "cheap-pills", "spam-farm", "free-bets", "ads-track", "adult-x", "poker-bonus", "xxx-cams", "loan-fast", "win-prize")
+#: What the labelled table is made from, by general knowledge of the web and
+#: not from any table of URLs: subjects of sites, and words that go with them.
+WANTED = ("news", "docs", "wiki", "library", "museum", "science", "history", "garden", "recipes", "travel", "weather", "journal", "school", "music", "books", "football", "city", "health", "theatre", "nature")
+UNWANTED = ("casino", "poker", "slots", "jackpot", "bets", "lottery", "pills", "pharma", "viagra", "loans", "payday", "adult", "porn", "xxx", "escorts", "cams", "ads", "clicks", "spam", "warez")
+WANTED_WITH = ("", "today", "online", "world", "guide", "club", "house", "lab", "north", "daily", "archive", "open")
+UNWANTED_WITH = ("", "win", "bonus", "free", "cheap", "fast", "best", "online", "deals", "hot", "track", "now")
+
+
+def made_name(n: int) -> str:
+    """A name without meaning, of two or three syllables."""
+    draw = hashlib.sha256(str(n).encode()).digest()
+    syllable = lambda i: "bcdfghjklmnprstvw"[draw[i] % 17] + "aeiou"[draw[i + 1] % 5] + ("", "n", "r", "s", "l", "th")[draw[i + 2] % 6]
+    return "".join(syllable(3 * i + 1) for i in range(2 + draw[0] % 2))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, block): every first label under every subdomain and domain, with
-    the same paths on both sides, so that hosts tell them apart."""
+    """(url, block): 240 names of each label and 240 without meaning, which
+    count as wanted. Subdomains, domains, paths and hyphens come on all sides
+    alike, so that the names tell them apart."""
+    names = [(0, made_name(n)) for n in range(240)]
+    for block, firsts, seconds in ((0, WANTED, WANTED_WITH), (1, UNWANTED, UNWANTED_WITH)):
+        for i, first in enumerate(firsts):
+            for j, second in enumerate(seconds):
+                parts = (first, second) if (i + j) % 2 else (second, first)
+                names.append((block, ("-" if i % 2 else "").join(x for x in parts if x)))
     rows = []
-    for block, names in ((0, WANTED), (1, UNWANTED + UNWANTED)):
-        for i, name in enumerate(names):
-            for j, sub in enumerate(("", "www.", "blog.", "m.")):
-                for k, domain in enumerate(("example.com", "example.net", "example.org")):
-                    n = 7 * i + 3 * j + k
-                    path = (f"/en/{n}", f"/de/{n}.html", f"/fr/{n}/", f"/es/{n}", "/", "")[n % 6]
-                    rows.append((f"https://{sub}{name}.{domain}{path}", block))
+    for n, (block, name) in enumerate(names):
+        sub, domain = ("", "www.", "blog.", "m.")[n // 3 % 4], ("com", "net", "org")[n % 3]
+        path = (f"/en/{n % 240}", f"/de/{n % 240}.html", f"/fr/{n % 240}/", f"/es/{n % 240}", "/")[n % 5]
+        rows.append((f"https://{sub}{name}.example.{domain}{path}", block))
     return spark.createDataFrame(rows, "url string, block int")
 
 
