@@ -16,8 +16,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
+BUCKETS = 4096
 SIZES = (3, 4, 5)
+#: A gram's share is of this many at least: in short texts one collision would outweigh all else.
+LEAST_GRAMS = 48
 
 #: rule -> verdict; a rule is a domain, with all its subdomains, and a path prefix.
 RULES: dict[str, str] = {
@@ -32,8 +34,8 @@ RULES: dict[str, str] = {
 #: not from any table of URLs: subjects of sites, and words that go with them.
 WANTED = ("news", "docs", "wiki", "library", "museum", "science", "history", "garden", "recipes", "travel", "weather", "journal", "school", "music", "books", "football", "city", "health", "theatre", "nature")
 UNWANTED = ("casino", "poker", "slots", "jackpot", "bets", "lottery", "pills", "pharma", "viagra", "loans", "payday", "adult", "porn", "xxx", "escorts", "cams", "ads", "clicks", "spam", "warez")
-WANTED_WITH = ("", "today", "online", "world", "guide", "club", "house", "lab", "north", "daily", "archive", "open")
-UNWANTED_WITH = ("", "win", "bonus", "free", "cheap", "fast", "best", "online", "deals", "hot", "track", "now")
+WANTED_WITH = ("", "today", "online", "world", "guide", "club", "archive", "open")
+UNWANTED_WITH = ("", "win", "bonus", "free", "cheap", "online", "deals", "now")
 
 
 def made_name(n: int) -> str:
@@ -44,20 +46,21 @@ def made_name(n: int) -> str:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, block): 240 names of each label and 240 without meaning, which
-    count as wanted. Subdomains, domains, paths and hyphens come on all sides
-    alike, so that the names tell them apart."""
-    names = [(0, made_name(n)) for n in range(240)]
+    """(url, block): 160 names of each label and 80 without meaning, which
+    count as wanted, each under every subdomain and with other paths. Those and
+    hyphens come on all sides alike, so that the names tell them apart."""
+    names = [(0, made_name(n)) for n in range(80)]
     for block, firsts, seconds in ((0, WANTED, WANTED_WITH), (1, UNWANTED, UNWANTED_WITH)):
         for i, first in enumerate(firsts):
             for j, second in enumerate(seconds):
                 parts = (first, second) if (i + j) % 2 else (second, first)
-                names.append((block, ("-" if i % 2 else "").join(x for x in parts if x)))
+                names.append((block, ("-" if j // 2 % 2 else "").join(x for x in parts if x)))
     rows = []
     for n, (block, name) in enumerate(names):
-        sub, domain = ("", "www.", "blog.", "m.")[n // 3 % 4], ("com", "net", "org")[n % 3]
-        path = (f"/en/{n % 240}", f"/de/{n % 240}.html", f"/fr/{n % 240}/", f"/es/{n % 240}", "/")[n % 5]
-        rows.append((f"https://{sub}{name}.example.{domain}{path}", block))
+        for v, sub in enumerate(("", "www.", "blog.", "m.")):
+            domain, k = ("com", "net", "org")[(n + v) % 3], n % 160
+            path = (f"/en/{k}", f"/de/{k}.html", f"/fr/{k}/", f"/es/{k}", "/")[(n + v) % 5]
+            rows.append((f"https://{sub}{name}.example.{domain}{path}", block))
     return spark.createDataFrame(rows, "url string, block int")
 
 
@@ -101,7 +104,7 @@ def fit_weights(labelled: DataFrame) -> tuple[list[float], float]:
     row = F.monotonically_increasing_id()
 
     def shares(field: str) -> Column:
-        return F.transform(F.col(field), lambda b: F.struct(b.alias("bucket"), (F.lit(1.0) / F.size(field)).alias("x")))
+        return F.transform(F.col(field), lambda b: F.struct(b.alias("bucket"), (F.lit(1.0) / F.greatest(F.size(field), F.lit(LEAST_GRAMS))).alias("x")))
 
     long = of.withColumn("row", row).select("row", "block", F.explode(F.concat(shares("h"), shares("p"))).alias("g"))
     summed = long.groupBy("row", "block", "g.bucket").agg(F.sum("g.x").alias("x"))
@@ -119,7 +122,7 @@ def block_score(of_host: Column, of_path: Column, weights: list[float], bias: fl
     def part(text: Column, field: str) -> Column:
         buckets = grams(text, field)
         total = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.element_at(w, b + 1))
-        return total / F.size(buckets)
+        return total / F.greatest(F.size(buckets), F.lit(LEAST_GRAMS))
 
     return 1 / (1 + F.exp(-(part(of_host, "h") + part(of_path, "p") + F.lit(bias))))
 
