@@ -4,8 +4,10 @@ Words are lower-cased and freed of edge punctuation; numbers, units after
 numbers, and names (capitalised words, wherever they stand, so that a passage
 has one template in any context) become typed placeholders. Windows of such templates are hash-joined with those of the
 benchmark, and the values behind the placeholders are compared along each
-alignment: one benchmark value must always stand for one document value. So
-re-parameterised questions match, and texts that only share a shape do not.
+alignment: one benchmark value must always stand for one document value; windows
+with another value do not count. So re-parameterised questions match, and texts
+that only share a shape do not. Windows that equal the benchmark's word for word,
+in any case of letters, can count without their template.
 
 The windows of documents pass a bitmap of fixed size first, made from the
 benchmark's hashes; the join behind it is exact.
@@ -28,6 +30,8 @@ WINDOW = 8
 #: Share of an item's windows that a document must have, consistently.
 COVERAGE = 0.5
 BITS = 1 << 22
+#: Sets the hashes of windows of plain words apart from those of templates.
+PLAIN = 1 << 32
 
 LITERAL, NUMBER, UNIT, NAME, EMPTY = range(5)
 EDGES = b".,;:!?%&*#|\"'()[]{}<>-_/\\$"
@@ -46,29 +50,34 @@ def _fact(word: bytes) -> tuple[int, int]:
     if not bare:
         return EMPTY, 0
     if _NUMBER.match(bare):
-        return NUMBER, 0
+        return NUMBER, xxhash.xxh3_64_intdigest(bare.lower())
     low = bare.lower()
-    kind = LITERAL
+    kind, text = LITERAL, bare.decode("utf-8", "replace")
     if low in UNITS:
         kind = UNIT
-    elif len(text := bare.decode("utf-8", "replace")) > 1 and text[0].isupper() and text[1:].islower():
+    elif len(text) > 1 and text[0].isupper() and text[1:].islower():
         kind = NAME
-    return kind, xxhash.xxh3_64_intdigest(low)
+    return kind, xxhash.xxh3_64_intdigest(low if bare.isascii() else text.lower().encode())
 
 
 def template(text: bytes | None, known: WordTable) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, template hash of each, its kind) without empty words."""
+    words, _, hashes, kind = parsed(text, known)
+    return words, hashes, kind
+
+
+def parsed(text: bytes | None, known: WordTable) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`template`, with the hash of each lower-case word after the words."""
     words = text.split() if text else []
     if not words:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     facts = known.of(words)
     kind = facts[:, 0].astype(np.int64)
     real = np.flatnonzero(kind != EMPTY)
     kind, hashes = kind[real], facts[real, 1]
     after = np.concatenate([[False], kind[:-1] == NUMBER])
     kind[(kind == UNIT) & ~after] = LITERAL
-    hashes = np.where(kind == LITERAL, hashes, kind.astype(np.uint64))
-    return [words[i] for i in real], hashes, kind
+    return [words[i] for i in real], hashes, np.where(kind == LITERAL, hashes, kind.astype(np.uint64)), kind
 
 
 def windows(hashes: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +93,12 @@ def _slots(at: int, width: int, words: list[bytes], kind: np.ndarray) -> list[st
     return [words[i].strip(EDGES).lower().decode("utf-8", "replace") for i in range(at, at + width) if kind[i] != LITERAL]
 
 
-_OUT = "id long, at int, hash long, slots array<string>, total int, wide int"
+_OUT = "id long, at int, hash long, slots array<string>, plain boolean, total int, wide int"
 
 
-def _windowed(table: DataFrame, key: str, width: int, bits=None) -> DataFrame:
+def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) -> DataFrame:
+    """Windows of templates, and with ``plain`` those of lower-case words too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTable(_fact, 2)
         near = None if bits is None else np.unpackbits(np.frombuffer(bits.value[0], np.uint8)).astype(bool)
@@ -95,27 +106,39 @@ def _windowed(table: DataFrame, key: str, width: int, bits=None) -> DataFrame:
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                words, hashes, kind = template(text, known)
+                words, lower, hashes, kind = parsed(text, known)
                 # A short item is one window; documents have windows of every such width.
                 for w in ([min(width, len(words))] if widths is None else widths) if words else ():
                     at, found = windows(hashes, kind, w)
-                    total = len(at)
+                    total, n = len(at), len(at)
+                    if plain:
+                        same = window_hashes(lower, w) + np.uint64(w + PLAIN)
+                        # A document's kinds may differ from the item's, so all its windows count here.
+                        where = at if near is None else np.arange(len(same))
+                        at, found = np.concatenate([at, where]), np.concatenate([found, same[where]])
+                    is_plain = np.arange(len(at)) >= n
                     if near is not None:
                         hit = near[(found & np.uint64(BITS - 1)).astype(np.int64)] & near[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)]
-                        at, found = at[hit], found[hit]
-                    rows.extend((key, a, h, _slots(a, w, words, kind), total, w) for a, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "total", "wide"])
+                        at, found, is_plain = at[hit], found[hit], is_plain[hit]
+                    rows.extend((key, a, h, _slots(a, w, words, kind), p, total, w) for a, h, p in zip(at.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), strict=True))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "plain", "total", "wide"])
 
     return table.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, lenient: bool = False) -> DataFrame:
     """Pairs of a row of ``docs`` (doc_id, text) and a benchmark item (item_id,
     text) of which it holds ``coverage`` of the template windows or more, along
     alignments with consistent slot values. Whole texts are read.
 
+    Where several document values stand for one benchmark value along an
+    alignment, the windows with that value do not count; the others do. With
+    ``lenient``, those with the value found in most windows count (ties: the
+    greater string), and so does every window that equals the item's word for
+    word, whatever its values and the case of its letters.
+
     Items with fewer than ``width`` words are one window of their own length.
     Null and empty texts hold nothing and are held by nothing, so are rows with
     a null id; rows that repeat a doc_id count as one document. Other columns
@@ -125,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     compared).
     """
     spark = docs.sparkSession
-    items = staged(_windowed(benchmark.where("item_id IS NOT NULL"), "item_id", width))
+    items = staged(_windowed(benchmark.where("item_id IS NOT NULL"), "item_id", width, lenient))
     # At most BITS rows, whatever the size of the benchmark.
     marks = items.select(F.explode(F.array(F.pmod("hash", F.lit(BITS)), F.pmod(F.shiftrightunsigned("hash", 40), F.lit(BITS)))).alias("bit")).distinct()
     on = np.zeros(BITS, np.uint8)
@@ -133,18 +156,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     wides = sorted({width, *(r.wide for r in items.select("wide").distinct().collect())})  # at most `width` values
     bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), wides))
 
-    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "total")
+    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "plain", "total")
     with small_batches(spark):
         met = staged(
             left.join(right, "hash")
+            # Equal words have equal values, though kinds may differ.
+            .withColumn("doc_slots", F.when(F.col("plain"), F.col("item_slots")).otherwise(F.col("doc_slots")))
             .where(F.size("doc_slots") == F.size("item_slots"))
             .withColumn("shift", F.col("doc_at") - F.col("item_at"))
         )
     line = ["doc_id", "item_id", "shift"]
-    values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select(*line, "x.*").distinct()
-    wrong = values.groupBy(*line, "item_slots").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()
-    good = met.join(wrong, line, "left_anti")
+    values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select(*line, "x.*").groupBy(*line, "item_slots", "doc_slots").agg(F.count("*").alias("n"))
+    most = F.max_by("doc_slots", F.struct("n", "doc_slots")) if lenient else F.lit(None).cast("string")
+    wrong = values.groupBy(*line, "item_slots").agg(most.alias("keep"), F.count("*").alias("n")).where("n > 1")
+    wrong = wrong.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("item_slots", "keep"))).alias("kept"))
+    # The values of one alignment at most are in a map.
+    clash = F.expr("exists(arrays_zip(item_slots, doc_slots), x -> map_contains_key(kept, x.item_slots) AND NOT (kept[x.item_slots] <=> x.doc_slots))")
+    good = met.join(wrong, line, "left").where(F.col("plain") | F.col("kept").isNull() | ~clash)
     slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"))
     return (
         good.groupBy("doc_id", "item_id")
