@@ -7,7 +7,8 @@ benchmark, and the values behind the placeholders are compared along each
 alignment: one benchmark value must always stand for one document value; windows
 with another value do not count. So re-parameterised questions match, and texts
 that only share a shape do not. Windows that equal the benchmark's word for word,
-in any case of letters, can count without their template.
+in any case of letters, can count without their template; those that are less than
+half literal, whose templates are too common, count only so.
 
 The windows of documents pass a bitmap of fixed size first, made from the
 benchmark's hashes; the join behind it is exact.
@@ -93,11 +94,16 @@ def _slots(at: int, width: int, words: list[bytes], kind: np.ndarray) -> list[st
     return [words[i].strip(EDGES).lower().decode("utf-8", "replace") for i in range(at, at + width) if kind[i] != LITERAL]
 
 
-_OUT = "id long, at int, hash long, slots array<string>, plain boolean, total int, wide int"
+_OUT = "id long, at int, hash long, slots array<string>, plain boolean, half boolean, total int, halves int, wide int"
 
 
 def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) -> DataFrame:
-    """Windows of templates, and with ``plain`` those of lower-case words too."""
+    """Windows of templates that are half literal at least, and windows of
+    lower-case words: those that are not, with ``plain`` or ``bits`` all.
+
+    ``halves`` counts the former where they hold half the words of a text at
+    least, and is 0 else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTable(_fact, 2)
@@ -110,20 +116,26 @@ def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) ->
                 # A short item is one window; documents have windows of every such width.
                 for w in ([min(width, len(words))] if widths is None else widths) if words else ():
                     at, found = windows(hashes, kind, w)
-                    total, n = len(at), len(at)
-                    if plain:
-                        same = window_hashes(lower, w) + np.uint64(w + PLAIN)
-                        # A document's kinds may differ from the item's, so all its windows count here.
-                        where = at if near is None else np.arange(len(same))
-                        at, found = np.concatenate([at, where]), np.concatenate([found, same[where]])
+                    same = window_hashes(lower, w) + np.uint64(w + PLAIN)
+                    total, n = len(same), len(at)
+                    is_half = np.zeros(total, bool)
+                    is_half[at] = True
+                    held = int((np.convolve(is_half, np.ones(w, np.int64)) > 0).sum()) if near is None else 0
+                    halves = n if 2 * held >= len(words) else 0
+                    # A document's kinds may differ from the item's, so all its windows count here.
+                    where = np.arange(total) if plain or near is not None else np.flatnonzero(~is_half)
+                    at, found = np.concatenate([at, where]), np.concatenate([found, same[where]])
                     is_plain = np.arange(len(at)) >= n
                     if near is not None:
                         hit = near[(found & np.uint64(BITS - 1)).astype(np.int64)] & near[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)]
                         at, found, is_plain = at[hit], found[hit], is_plain[hit]
-                    rows.extend((key, a, h, _slots(a, w, words, kind), p, total, w) for a, h, p in zip(at.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), strict=True))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "plain", "total", "wide"])
+                    rows.extend(
+                        (key, a, h, _slots(a, w, words, kind), p, f, total, halves, w)
+                        for a, h, p, f in zip(at.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), is_half[at].tolist(), strict=True)
+                    )
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "plain", "half", "total", "halves", "wide"])
 
     return table.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
@@ -133,6 +145,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     text) of which it holds ``coverage`` of the template windows or more, along
     alignments with consistent slot values. Whole texts are read.
 
+    Windows less than half literal match word for word only, in any case of
+    letters. As new values change them, an item of which the other windows hold
+    half the words is judged by those alone too, and the larger share counts.
+
     Where several document values stand for one benchmark value along an
     alignment, the windows with that value do not count; the others do. With
     ``lenient``, those with the value found in most windows count (ties: the
@@ -157,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), wides))
 
     left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "plain", "total")
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "plain", "half", "total", "halves")
     with small_batches(spark):
         met = staged(
             left.join(right, "hash")
@@ -177,9 +193,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"))
     return (
         good.groupBy("doc_id", "item_id")
-        .agg(F.max("total").cast("long").alias("n_windows"), F.count_distinct("item_at").alias("n_matched"))
-        .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+        .agg(
+            F.max("total").cast("long").alias("n_windows"),
+            F.count_distinct("item_at").alias("n_matched"),
+            F.max("halves").alias("halves"),
+            F.count_distinct(F.when(F.col("half"), F.col("item_at"))).alias("n_halves"),
+        )
+        .withColumn("coverage", F.greatest(F.col("n_matched") / F.col("n_windows"), F.when(F.col("halves") > 0, F.col("n_halves") / F.col("halves"))))
         .where(F.col("coverage") >= coverage)
+        .drop("halves", "n_halves")
         .join(slots, ["doc_id", "item_id"], "left")
         .na.fill(0, ["n_slots"])
     )

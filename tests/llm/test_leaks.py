@@ -24,3 +24,12 @@ def test_lenient_contamination_in_any_case_and_role(spark):
             (5, "ÄPFEL UND BIRNEN ÜBER ALLEM IM SCHÖNEN GARTEN", "de", "a"), (6, "the driver carries 12 of them before noon", "en", "a")]
     items = [(10, QUESTION, 1), (11, ROLES, 1), (12, "Äpfel und Birnen über allem im schönen Garten", 1)]
     assert set(leaks(spark, docs, items, lenient=True)) == {(1, 10), (2, 10), (3, 10), (4, 11), (5, 12)}
+
+
+def test_items_with_few_literal_words(spark):
+    sums, names = "12 + 7 = 19; 3 * 14 = 42; 90 / 6 = 15; 8 - 11 = -3", "Anna Karenina Alexei Vronsky Konstantin Levin Kitty Oblonsky Dolly Betsy"
+    few = names + " went to the old station and waited there " + names
+    docs = [(1, f"see {sums} here", "en", "a"), (2, f"with {names} in it", "en", "a"), (3, sums.replace("1", "5"), "en", "a"), (4, "she went to the old station and waited there alone", "en", "a"), (5, few, "en", "a"), (6, QUESTION.replace("12", "40").replace("Anna", "Olga"), "en", "a")]
+    got = leaks(spark, docs, [(10, sums, 1), (11, names, 1), (12, few, 1), (13, QUESTION, 1)])
+    assert set(got) == {(1, 10), (2, 11), (5, 11), (5, 12), (6, 13)}
+    assert (got[5, 12].n_windows, got[5, 12].n_matched) == (21, 21) and got[6, 13].coverage == 1
