@@ -45,11 +45,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes its words, to the nearest
-    whole number: up to twice. Documents without words come never."""
-    mixed = mix_sources(docs).where("size > 0")
-    times = mixed.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"))
-    often = docs.select(*COLUMNS).join(times.where("times > 0"), "doc_id")
-    return often.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    whole number: up to twice. Documents without words come never. Rows with a
+    null or repeated doc_id count each by itself."""
+    mixed = mix_sources(docs, keep=COLUMNS).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    return mixed.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, partitions
+from .common import WORD, checkpointed, partitions, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 GOLDEN = 0.6180339887498949
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[fl
     )
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each row of ``docs`` (doc_id, text, source) a mix takes.
 
     Sources in code point order, null last as a source of its own, have the
@@ -63,12 +63,17 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     is taken more than ``cap`` times. Rows with one doc_id are each mixed; an
     empty table gives no rows; other columns are ignored.
 
-    Returns doc_id, size, source_size, target (the source's), taken.
+    Returns doc_id, size, source_size, target (the source's), taken; with
+    ``keep``, these columns of the row in place of doc_id. They meet what is
+    taken by a number of the row, so null or repeated doc_ids do no harm.
     """
     spark = docs.sparkSession
     cells = max(64, 2 * partitions(spark))
-    rows = checkpointed(
+    # The kept columns wait in a table of which the plan reads only the rest.
+    rows = (staged if keep else checkpointed)(
         docs.select(
+            *([F.struct(*keep).alias("kept")] if keep else []),
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -76,6 +81,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
             F.xxhash64("text").alias("tie"),
         ).withColumn("cell", F.pmod("order", F.lit(cells)))
     )
+    everything, rows = rows, rows.drop("kept")
     # Where a document begins in its source's stream: running sums over cells of
     # the shuffled order, then within a cell, so no task has a whole source.
     sums = checkpointed(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")))
@@ -130,7 +136,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     # What a source's rows need comes with their cell, so no row meets the plan by source alone.
     starts = starts.join(plan.select(F.col("source").alias("of"), "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keyed = placed.join(starts.withColumnsRenamed({"source": "s", "cell": "c"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    keyed = keyed.withColumn("begin", F.col("cell_start") + F.col("inside")).withColumn("row", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("begin", F.col("cell_start") + F.col("inside"))
     keyed = checkpointed(keyed)
     # Block k of a source has the words from floor(k * size / blocks) on.
     holds = lambda word: F.floor((F.col("blocks") * (word + 1) - 1) / F.col("source_size")).cast("long")
@@ -147,4 +153,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
         .groupBy("row")
         .agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     )
-    return keyed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    found = keyed.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    if not keep:
+        return found.drop("row")
+    return everything.select("row", "kept").join(found.drop("doc_id"), "row").select("kept.*", "size", "source_size", "target", "taken")
