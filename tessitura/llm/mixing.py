@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source is a stream of its documents in a shuffled order, cut into blocks
-of equal length. Slot ``j`` of the mix has the point ``frac(j * golden
+of equal length, small ones into smaller blocks, so that each has enough slots. Slot ``j`` of the mix has the point ``frac(j * golden
 ratio)``; mapping the points through the cumulative weights gives each slot a
 source, evenly at every stretch of the mix. The slots of a source, ranked, take
 its blocks in turn, beginning again after the last one.
@@ -16,9 +16,11 @@ from .common import WORD, checkpointed, partitions, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 GOLDEN = 0.6180339887498949
-#: The mix has about this many slots, and a block this many words at least.
+#: The mix has about this many slots, and those of small sources besides; a block
+#: has this many words at least, and a source this many blocks where they allow it.
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
+SOURCE_BLOCKS = 64
 #: Slots per chunk when slots are ranked, and cells of the scale of weights.
 CHUNK = 4096
 CELLS = 4096
@@ -94,8 +96,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     targets = source_targets(sizes, share, float(cap), weights)
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     block = max(LEAST_BLOCK, int(share * total) // SLOTS)
+    own = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(block), F.floor(F.col("source_size") / SOURCE_BLOCKS)))
     plan = (
-        targets.withColumn("blocks", F.ceil(F.col("source_size") / block))
+        targets.withColumn("blocks", F.ceil(F.col("source_size") / own))
         .withColumn("slots", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
         .withColumn("high", F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("low", F.col("high") - F.col("slots"))

@@ -18,3 +18,15 @@ def test_stage_mixing_repeats_every_row_by_its_own_words(spark):
     assert any(r[0] is None for r in got)
     by_row = Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix_sources(docs).collect())
     assert by_row == Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix_sources(docs, keep=corpus_pipeline.COLUMNS).collect())
+
+
+def test_small_sources_meet_their_targets_beside_a_large_one(spark, monkeypatch):
+    """With few slots, a block of the whole is longer than a small source."""
+    monkeypatch.setattr(mixing, "SLOTS", 32)
+    rows = [(i, "word " * 100, "en", "z") for i in range(600)] + [(1000 + i, "word " * 500, "en", f"s{i % 12:02}") for i in range(48)]
+    source, taken, target = {r[0]: r[3] for r in rows}, Counter(), {}
+    for r in mixing.mix_sources(frame(spark, rows)).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    off = {s: (taken[s], t) for s, t in target.items() if abs(taken[s] - t) > 0.06 * t}
+    assert len(target) == 13 and not off
