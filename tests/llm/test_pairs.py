@@ -147,3 +147,45 @@ def test_same_rows_as_sql(spark, sf_dir):
         rel = con.sql(sql)
         assert sorted(rel.columns) == sorted(df.columns)
         assert sorted(map(repr, map(tuple, df.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
+
+
+def pages_of_one_template(n, own=1):
+    """Texts of 34 words that differ in words of their own, none similar."""
+    return [(i, " ".join([f"t{k}" for k in range(17)] + [f"own{i}_{k}" for k in range(own)] + [f"t{k}" for k in range(17, 34 - own)]), "en", "a") for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [1, 2])
+def test_pages_of_one_template_meet_nobody(spark, monkeypatch, own):
+    tested, seen = [], []
+    verified, meetings = jaccard_join._verified, jaccard_join.meetings
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, sets: (tested.append(pairs.count()), verified(pairs, sets))[1])
+    monkeypatch.setattr(jaccard_join, "meetings", lambda known: (seen.append(known.count()), meetings(known))[1])
+    got = jaccard_join.near_duplicates(frame(spark, pages_of_one_template(300, own))).collect()
+    assert len(got) == 300 and all(r.doc_id == r.component_id for r in got)
+    assert sum(tested) == sum(seen) == 0
+
+
+def test_mixed_lengths_of_one_bucket_meet_by_class_and_place(spark):
+    """Random unions of a few passages: many shared n-grams, few similar sets."""
+    import random
+
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}_{j}" for j in range(rng.randint(9, 40))) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(passages, rng.randint(2, 9))), "en", "a") for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail" * (i % 3), "en", "a") for i in range(0, 120, 4)]
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
+def test_classes_of_length_hold_what_can_be_similar():
+    starts = jaccard_join._length_starts()
+    of = lambda n: sum(s <= n for s in starts)
+    for n in [*range(1, 400), *(s + d for s in starts[5:60] for d in (-1, 0, 1))]:
+        assert of(5 * n // 4) - of(n) in (0, 1)
+
+
+def test_overlaps_are_counted_by_fragments_of_the_order(spark):
+    order = lambda df, s: spark.range(1).select(jaccard_join._order(jaccard_join.F.lit(df), jaccard_join.F.lit(s).cast("long"))).first()[0]
+    ordered = [(2, -(2**63)), (2, -5), (2, 2**63 - 1), (3, -(2**63)), (9, 4), (jaccard_join.MOST, -(2**62)), (jaccard_join.MOST, 2**62)]
+    places = [order(*x) for x in ordered]
+    assert places == sorted(places) and len(set(places)) >= len(places) - 1
