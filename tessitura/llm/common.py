@@ -41,10 +41,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """As :func:`checkpointed`, but as a Parquet table, for what is read in part."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables that :func:`staged` has written so far; for callers
+    whose result is already written. Checkpoints go with their DataFrames where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    while _STAGED:
+        delete(spark, _STAGED.pop())
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Fewer rows a batch for what runs inside: long texts make large batches."""

@@ -2,13 +2,16 @@
 
 Words are lower-cased and freed of edge punctuation; numbers, units after
 numbers, and names (capitalised words, wherever they stand, so that a passage
-has one template in any context) become typed placeholders. Windows of such templates are hash-joined with those of the
-benchmark, and the values behind the placeholders are compared along each
-alignment: one benchmark value must always stand for one document value; windows
-with another value do not count. So re-parameterised questions match, and texts
-that only share a shape do not. Windows that equal the benchmark's word for word,
-in any case of letters, can count without their template; those that are less than
-half literal, whose templates are too common, count only so.
+has one template in any context) become typed placeholders. Windows of such
+templates are hash-joined with those of the benchmark, their words are then
+compared, and so are the values behind the placeholders, over each passage:
+alignments that a few inserted or missing words set apart are one passage. One
+benchmark value must always stand for one document value, and one document value
+for one benchmark value; windows with another value do not count. So
+re-parameterised questions match, and texts that only share a shape do not.
+Windows that equal the benchmark's word for word, in any case of letters, can
+count without their template; those that are less than half literal, whose
+templates are too common, count only so.
 
 The windows of documents pass a bitmap of fixed size first, made from the
 benchmark's hashes; the join behind it is exact.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, raw_texts, small_batches, staged, window_hashes
@@ -30,6 +33,8 @@ from .common import WordTable, raw_texts, small_batches, staged, window_hashes
 WINDOW = 8
 #: Share of an item's windows that a document must have, consistently.
 COVERAGE = 0.5
+#: Items of fewer words are too common as windows; only whole texts match them.
+LEAST_WORDS = 4
 BITS = 1 << 22
 #: Sets the hashes of windows of plain words apart from those of templates.
 PLAIN = 1 << 32
@@ -94,7 +99,12 @@ def _slots(at: int, width: int, words: list[bytes], kind: np.ndarray) -> list[st
     return [words[i].strip(EDGES).lower().decode("utf-8", "replace") for i in range(at, at + width) if kind[i] != LITERAL]
 
 
-_OUT = "id long, at int, hash long, slots array<string>, plain boolean, half boolean, total int, halves int, wide int"
+def _canonical(at: int, width: int, words: list[bytes], kind: np.ndarray, plain: bool) -> str:
+    """What two windows with one hash must have in common."""
+    return " ".join(str(kind[i]) + "\0" if kind[i] != LITERAL and not plain else words[i].strip(EDGES).decode("utf-8", "replace").lower() for i in range(at, at + width))
+
+
+_OUT = "id long, at int, hash long, words string, slots array<string>, plain boolean, half boolean, total int, halves int, wide int"
 
 
 def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) -> DataFrame:
@@ -115,6 +125,8 @@ def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) ->
                 words, lower, hashes, kind = parsed(text, known)
                 # A short item is one window; documents have windows of every such width.
                 for w in ([min(width, len(words))] if widths is None else widths) if words else ():
+                    if w < LEAST_WORDS and len(words) != w:
+                        continue
                     at, found = windows(hashes, kind, w)
                     same = window_hashes(lower, w) + np.uint64(w + PLAIN)
                     total, n = len(same), len(at)
@@ -123,19 +135,19 @@ def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) ->
                     held = int((np.convolve(is_half, np.ones(w, np.int64)) > 0).sum()) if near is None else 0
                     halves = n if 2 * held >= len(words) else 0
                     # A document's kinds may differ from the item's, so all its windows count here.
-                    where = np.arange(total) if plain or near is not None else np.flatnonzero(~is_half)
+                    where = np.arange(total) if plain or near is not None or w < LEAST_WORDS else np.flatnonzero(~is_half)
                     at, found = np.concatenate([at, where]), np.concatenate([found, same[where]])
                     is_plain = np.arange(len(at)) >= n
                     if near is not None:
                         hit = near[(found & np.uint64(BITS - 1)).astype(np.int64)] & near[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)]
                         at, found, is_plain = at[hit], found[hit], is_plain[hit]
                     rows.extend(
-                        (key, a, h, _slots(a, w, words, kind), p, f, total, halves, w)
+                        (key, a, h, _canonical(a, w, words, kind, p), _slots(a, w, words, kind), p, f, total, halves, w)
                         for a, h, p, f in zip(at.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), is_half[at].tolist(), strict=True)
                     )
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "slots", "plain", "half", "total", "halves", "wide"])
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "words", "slots", "plain", "half", "total", "halves", "wide"])
 
     return table.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
@@ -149,19 +161,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     letters. As new values change them, an item of which the other windows hold
     half the words is judged by those alone too, and the larger share counts.
 
-    Where several document values stand for one benchmark value along an
-    alignment, the windows with that value do not count; the others do. With
-    ``lenient``, those with the value found in most windows count (ties: the
+    Where several document values stand for one benchmark value in a passage,
+    or one for several, the windows with that value do not count; the others do.
+    With ``lenient``, those with the value found in most windows count (ties: the
     greater string), and so does every window that equals the item's word for
     word, whatever its values and the case of its letters.
 
-    Items with fewer than ``width`` words are one window of their own length.
+    Items with fewer than ``width`` words are one window of their own length;
+    those with fewer than ``LEAST_WORDS`` are held by texts of these words only.
     Null and empty texts hold nothing and are held by nothing, so are rows with
     a null id; rows that repeat a doc_id count as one document. Other columns
     are ignored.
 
     Returns doc_id, item_id, n_windows, n_matched, coverage, n_slots (values
-    compared).
+    compared in the windows that count).
     """
     spark = docs.sparkSession
     items = staged(_windowed(benchmark.where("item_id IS NOT NULL"), "item_id", width, lenient))
@@ -172,36 +185,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     wides = sorted({width, *(r.wide for r in items.select("wide").distinct().collect())})  # at most `width` values
     bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), wides))
 
-    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "plain", "half", "total", "halves")
+    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", "words", F.col("slots").alias("doc_slots"))
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "words", F.col("slots").alias("item_slots"), "plain", "half", "total", "halves")
     with small_batches(spark):
         met = staged(
-            left.join(right, "hash")
+            left.join(right, ["hash", "words"])
+            .drop("words")
             # Equal words have equal values, though kinds may differ.
             .withColumn("doc_slots", F.when(F.col("plain"), F.col("item_slots")).otherwise(F.col("doc_slots")))
             .where(F.size("doc_slots") == F.size("item_slots"))
             .withColumn("shift", F.col("doc_at") - F.col("item_at"))
         )
-    line = ["doc_id", "item_id", "shift"]
-    values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).select(*line, "x.*").groupBy(*line, "item_slots", "doc_slots").agg(F.count("*").alias("n"))
-    most = F.max_by("doc_slots", F.struct("n", "doc_slots")) if lenient else F.lit(None).cast("string")
-    wrong = values.groupBy(*line, "item_slots").agg(most.alias("keep"), F.count("*").alias("n")).where("n > 1")
-    wrong = wrong.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("item_slots", "keep"))).alias("kept"))
-    # The values of one alignment at most are in a map.
-    clash = F.expr("exists(arrays_zip(item_slots, doc_slots), x -> map_contains_key(kept, x.item_slots) AND NOT (kept[x.item_slots] <=> x.doc_slots))")
-    good = met.join(wrong, line, "left").where(F.col("plain") | F.col("kept").isNull() | ~clash)
-    slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"))
+    # Shifts that follow each other within a window's width are one passage.
+    pair = ["doc_id", "item_id"]
+    by_shift = Window.partitionBy(*pair).orderBy("shift")
+    starts = F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) > width).cast("int"), F.lit(0))
+    passages = met.select(*pair, "shift").distinct().withColumn("starts", starts).withColumn("passage", F.sum("starts").over(by_shift)).drop("starts")
+    line = [*pair, "passage"]
+    met = met.join(passages, [*pair, "shift"])
+    values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).groupBy(*line, "x.item_slots", "x.doc_slots").agg(F.count("*").alias("n"))
+
+    def one_for_one(of: str, to: str, name: str) -> DataFrame:
+        """(line, name): for each value ``of`` with several ``to``, which one counts, if any."""
+        most = F.max_by(to, F.struct("n", to)) if lenient else F.lit(None).cast("string")
+        several = values.groupBy(*line, of).agg(most.alias("keep"), F.count("*").alias("n")).where("n > 1")
+        return several.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct(of, "keep"))).alias(name))
+
+    # The values of one passage at most are in a map.
+    clash = lambda name, of, to: F.expr(f"coalesce(exists(arrays_zip(item_slots, doc_slots), x -> map_contains_key({name}, x.{of}) AND NOT ({name}[x.{of}] <=> x.{to})), false)")
+    good = (
+        met.join(one_for_one("item_slots", "doc_slots", "forth"), line, "left")
+        .join(one_for_one("doc_slots", "item_slots", "back"), line, "left")
+        .where(F.col("plain") | ~(clash("forth", "item_slots", "doc_slots") | clash("back", "doc_slots", "item_slots")))
+    )
     return (
-        good.groupBy("doc_id", "item_id")
+        good.groupBy(*pair)
         .agg(
             F.max("total").cast("long").alias("n_windows"),
             F.count_distinct("item_at").alias("n_matched"),
             F.max("halves").alias("halves"),
             F.count_distinct(F.when(F.col("half"), F.col("item_at"))).alias("n_halves"),
+            F.size(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots"))))).cast("long").alias("n_slots"),
         )
         .withColumn("coverage", F.greatest(F.col("n_matched") / F.col("n_windows"), F.when(F.col("halves") > 0, F.col("n_halves") / F.col("halves"))))
         .where(F.col("coverage") >= coverage)
-        .drop("halves", "n_halves")
-        .join(slots, ["doc_id", "item_id"], "left")
-        .na.fill(0, ["n_slots"])
+        .select(*pair, "n_windows", "n_matched", "coverage", "n_slots")
     )

@@ -15,9 +15,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """At most ``most`` rows (doc_id, text, lang, y), half of each label where
     there are enough, outside the held-out fold; and label 1's share among all
     labelled rows outside that fold. The rows are those whose doc_id hashes
-    lowest, so reruns agree. Rows with a null doc_id or label are left out."""
+    lowest, and of texts that repeat a doc_id the one that hashes lowest counts,
+    so reruns agree however the tables are dealt. Rows with a null doc_id or
+    label are left out; doc_ids of any whole-number type are read as long."""
     known = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
@@ -26,4 +28,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     order = F.xxhash64("doc_id")
     halves = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most // 2) for y in (0, 1)]
     chosen = F.broadcast(halves[0].unionAll(halves[1]))  # at most `most` rows
-    return docs.select("doc_id", "text", "lang").join(chosen, "doc_id").dropDuplicates(["doc_id"]), 0.0 if share is None else share
+    met = docs.select(F.col("doc_id").cast("long"), "text", "lang").join(chosen, "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "lang", "y")).alias("one")
+    return met.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.lang", "one.y"), 0.0 if share is None else share

@@ -1,10 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source is a stream of its documents in a shuffled order, cut into blocks
-of equal length, small ones into smaller blocks, so that each has enough slots. Slot ``j`` of the mix has the point ``frac(j * golden
-ratio)``; mapping the points through the cumulative weights gives each slot a
-source, evenly at every stretch of the mix. The slots of a source, ranked, take
-its blocks in turn, beginning again after the last one.
+of equal length, small ones into smaller blocks. Its target fixes how many slots
+it has; the last one may take a part of its block, so that the target is met to
+the word. Slot ``j`` of the mix has the point ``frac(j * golden ratio)``; mapping
+the points through the cumulative slots gives each slot a source, evenly at every
+stretch of the mix. The slots of a source, ranked, take its blocks in turn,
+beginning again after the last one. Where the points give a source fewer slots
+than it has, those missing follow at the end; those too many stay empty.
 """
 
 from __future__ import annotations
@@ -48,8 +51,8 @@ def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[fl
         (share * F.sum("size").over(every)).alias("total"),
     )
     level = level.withColumn("level", (F.col("total") - F.col("capped")) / (F.col("weights") - F.col("passed")))
-    # The first source that does not reach its cap has the final level.
-    final = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(every)["level"]
+    # The first source, in this order, that does not reach its cap has the final level.
+    final = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "passed", "level"))).over(every)["level"]
     return level.withColumn("final", final).select(
         "source", F.col("size").alias("source_size"),
         F.when(F.col("final").isNull(), cap * F.col("size")).otherwise(F.least(F.col("weight") * F.col("final"), cap * F.col("size"))).alias("target"),
@@ -65,9 +68,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     is taken more than ``cap`` times. Rows with one doc_id are each mixed; an
     empty table gives no rows; other columns are ignored.
 
-    Returns doc_id, size, source_size, target (the source's), taken; with
-    ``keep``, these columns of the row in place of doc_id. They meet what is
-    taken by a number of the row, so null or repeated doc_ids do no harm.
+    Returns doc_id, size, source_size, target (the source's), taken, first_slot
+    (of the mix, that takes words of the row, or null); with ``keep``, these
+    columns of the row in place of doc_id. They meet what is taken by a number
+    of the row, so null or repeated doc_ids do no harm. The words taken of a
+    source are its target, rounded. Plans have one row per source in one task.
     """
     spark = docs.sparkSession
     cells = max(64, 2 * partitions(spark))
@@ -97,47 +102,64 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     block = max(LEAST_BLOCK, int(share * total) // SLOTS)
     own = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(block), F.floor(F.col("source_size") / SOURCE_BLOCKS)))
+    # The stream is taken ``rounds`` times and then its first ``rest`` words.
+    by_name = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     plan = (
         targets.withColumn("blocks", F.ceil(F.col("source_size") / own))
-        .withColumn("slots", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-        .withColumn("high", F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
+        .where("blocks > 0")
+        .withColumn("goal", F.floor(F.col("target") + 0.5))
+        .withColumn("rounds", F.expr("goal div source_size"))
+        .withColumn("rest", F.col("goal") - F.col("rounds") * F.col("source_size"))
+        .withColumn("whole", F.expr("(blocks * rest - 1) div source_size"))  # blocks before the last one
+        .withColumn("whole", F.when(F.col("rest") > 0, F.col("whole")).otherwise(0))
+        .withColumn("slots", F.col("rounds") * F.col("blocks") + F.col("whole") + (F.col("rest") > 0).cast("long"))
+        .withColumn("part", F.col("rest") - F.expr("(whole * source_size) div blocks"))
+        .withColumn("high", F.sum("slots").over(by_name))
         .withColumn("low", F.col("high") - F.col("slots"))
-        .withColumn("all", F.sum("slots").over(Window.partitionBy(F.lit(0))))
     )
     plan = checkpointed(plan)
-    slots = round(plan.agg(F.coalesce(F.max("all"), F.lit(0.0)).alias("n")).first().n)
+    slots = plan.agg(F.coalesce(F.max("high"), F.lit(0)).alias("n")).first().n
 
     point = F.col("slot") * F.lit(GOLDEN)
     points = spark.range(0, slots, 1, partitions(spark)).withColumnRenamed("id", "slot")
-    points = points.withColumn("point", (point - F.floor(point)) * F.lit(float(slots)))
+    points = points.withColumn("point", F.least((point - F.floor(point)) * F.lit(float(slots)), F.lit(float(slots) * (1 - 2.0**-52))))
     # Each source owns a stretch of the scale. Cutting the scale into cells makes
     # finding a point's source an equality join on the cell.
-    scale = F.col("point") * F.col("all") / F.lit(float(max(slots, 1)))
-    cell = lambda share: F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+    cell = lambda at: F.least(F.floor(at / F.lit(float(max(slots, 1))) * CELLS), F.lit(CELLS - 1))
     of = plan.where("slots > 0").select(
-        F.col("source").alias("of_source"), "low", "high", "all", "blocks",
-        F.explode(F.sequence(F.greatest(cell(F.col("low") / F.col("all")) - 1, F.lit(0)), F.least(cell(F.col("high") / F.col("all")) + 1, F.lit(CELLS - 1)))).alias("cell"),
+        F.col("source").alias("of_source"), "low", "high", "blocks", F.col("slots").alias("want"), "part",
+        F.explode(F.sequence(F.greatest(cell(F.col("low")) - 1, F.lit(0)), F.least(cell(F.col("high")) + 1, F.lit(CELLS - 1)))).alias("cell"),
     )
     dealt = (
-        points.withColumn("cell", cell(F.col("point") / F.lit(float(max(slots, 1)))))
+        points.withColumn("cell", cell(F.col("point")))
         .join(of, "cell")
-        .where((scale >= F.col("low")) & (scale < F.col("high")))
+        .where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
         .withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     )
-    counts = dealt.groupBy("of_source", "chunk").agg(F.count("*").alias("n"))
+    counts = checkpointed(dealt.groupBy("of_source", "chunk").agg(F.count("*").alias("n")))
     first = counts.withColumn(
         "ahead", F.coalesce(F.sum("n").over(Window.partitionBy("of_source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select(F.col("of_source").alias("s"), F.col("chunk").alias("c"), "ahead")
     rank = F.row_number().over(Window.partitionBy("of_source", "chunk").orderBy("slot")) - 1 + F.col("ahead")
     ranked = dealt.join(first, F.col("of_source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).withColumn("rank", rank)
+    ranked = ranked.where(F.col("rank") < F.col("want")).select("of_source", "slot", "rank", "blocks", "want", "part")
+    got = counts.groupBy(F.col("of_source").alias("s")).agg(F.sum("n").alias("got"))
+    late = (
+        plan.join(got, F.col("source").eqNullSafe(F.col("s")), "left")
+        .withColumn("got", F.coalesce("got", F.lit(0)))
+        .where(F.col("got") < F.col("slots"))
+        .withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)))
+        .select(F.col("source").alias("of_source"), (slots + F.col("low") + F.col("rank")).alias("slot"), "rank", "blocks", F.col("slots").alias("want"), "part")
+    )
+    partial = (F.col("rank") == F.col("want") - 1) & (F.col("part") > 0)
     uses = (
-        ranked.where(F.col("rank") < cap * F.col("blocks"))
+        ranked.unionAll(late)
         .groupBy("of_source", F.pmod("rank", F.col("blocks")).alias("at_block"))
-        .agg(F.count("*").alias("uses"))
+        .agg(F.count(F.when(~partial, 1)).alias("uses"), F.coalesce(F.max(F.when(partial, F.col("part"))), F.lit(0)).alias("part"), F.min("slot").alias("slot"))
     )
 
     # What a source's rows need comes with their cell, so no row meets the plan by source alone.
-    starts = starts.join(plan.select(F.col("source").alias("of"), "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    starts = starts.join(targets.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("blocks", F.ceil(F.col("source_size") / own))
     keyed = placed.join(starts.withColumnsRenamed({"source": "s", "cell": "c"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
     keyed = keyed.withColumn("begin", F.col("cell_start") + F.col("inside"))
     keyed = checkpointed(keyed)
@@ -148,15 +170,17 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
         F.explode(F.sequence(F.greatest(holds(F.col("begin")) - 1, F.lit(0)), F.least(holds(F.col("begin") + F.col("size") - 1) + 1, F.col("blocks") - 1))).alias("k"),
     )
     edge = lambda k: F.expr(f"({k} * source_size) div blocks")
-    overlap = F.greatest(F.least(F.col("begin") + F.col("size"), edge("(k + 1)")) - F.greatest(F.col("begin"), edge("k")), F.lit(0))
+    held = lambda end: F.greatest(F.least(F.col("begin") + F.col("size"), end) - F.greatest(F.col("begin"), edge("k")), F.lit(0))
+    words = held(edge("(k + 1)")) * F.col("uses") + held(edge("k") + F.col("part"))
     taken = (
-        pieces.withColumn("words", overlap)
-        .where("words > 0")
+        pieces.where(held(edge("(k + 1)")) > 0)
         .join(uses, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("k") == F.col("at_block")))
+        .withColumn("words", words)
+        .where("words > 0")
         .groupBy("row")
-        .agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        .agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     )
-    found = keyed.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    found = keyed.join(taken, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
     if not keep:
         return found.drop("row")
-    return everything.select("row", "kept").join(found.drop("doc_id"), "row").select("kept.*", "size", "source_size", "target", "taken")
+    return everything.select("row", "kept").join(found.drop("doc_id"), "row").select("kept.*", "size", "source_size", "target", "taken", "first_slot")

@@ -89,7 +89,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, vnodes: int = 32) -> DataFr
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("hash"),
-            F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(SALTS)).cast("int").alias("salt"),
+            # Rows without doc_id and with one text are interchangeable, so any number spreads them.
+            F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string"))), F.lit(SALTS)).cast("int").alias("salt"),
         ).withColumn("position", F.pmod("hash", F.lit(POSITIONS)).cast("int"))
     )
     before = Window.partitionBy("arc").orderBy("position", "salt").rowsBetween(Window.unboundedPreceding, -1)

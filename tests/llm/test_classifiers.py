@@ -140,3 +140,23 @@ def test_pipeline_survives_awkward_rows(spark, sf_dir):
     empty = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("report", [toxicity.toxicity_report, quality.quality_report])
+def test_repeated_and_narrow_ids_fit_alike_however_the_table_is_dealt(spark, report):
+    rows, labels, table = labelled(spark, 200)
+    rows += [(i, f"other text {i} grumbix", "en", "a") for i in range(0, 200, 3)]
+    score = lambda df, ls: {(r.doc_id, round(r.score, 12)) for r in report(df, ls).collect()}
+    first = score(frame(spark, rows), table)
+    assert first == score(frame(spark, rows[::-1]).repartition(7), table.repartition(3))
+    narrow = frame(spark, rows).selectExpr("cast(doc_id AS int) AS doc_id", "text", "lang", "source")
+    assert first == score(narrow, table.selectExpr("cast(doc_id AS int) AS doc_id", "quality", "toxic"))
+
+
+def test_pooling_by_stretches_is_pooling_of_the_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 5)
+    rng = np.random.default_rng(1)
+    table = rng.normal(0, 1, (50, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32)
+    for n in (*range(25), 400):
+        at = rng.integers(0, 50, n)
+        assert np.array_equal(toxicity._pool_in_stretches(table, at), toxicity._pool(table[at])[0])

@@ -33,3 +33,55 @@ def test_items_with_few_literal_words(spark):
     got = leaks(spark, docs, [(10, sums, 1), (11, names, 1), (12, few, 1), (13, QUESTION, 1)])
     assert set(got) == {(1, 10), (2, 11), (5, 11), (5, 12), (6, 13)}
     assert (got[5, 12].n_windows, got[5, 12].n_matched) == (21, 21) and got[6, 13].coverage == 1
+
+
+def test_short_items_match_whole_texts_only(spark):
+    docs = [(1, "the", "en", "a"), (2, "over the hill and far away", "en", "a"), (3, " The. ", "en", "a"), (4, "as is well known here", "en", "a")]
+    assert set(leaks(spark, docs, [(10, "the", 1), (11, "is well known here", 1)])) == {(1, 10), (3, 10), (4, 11)}
+
+
+SHARED = "the red boat of {} carries {} barrels to the far island while our blue ship from {} brings {} crates over to the near shore"
+
+
+def test_values_are_one_for_one_both_ways_and_over_inserted_words(spark):
+    item = SHARED.format("Anna", 12, "Bob", 15)
+    both = SHARED.format("Olga", 40, "Olga", 40)  # two benchmark values on one: no longer one for one
+    other = SHARED.format("Olga", 40, "Carl", 55)
+    late = other.replace("far island", "far quiet island")
+    torn = late.replace("Carl", "Olga").replace("55", "40")
+    got = leaks(spark, [(1, both, "en", "a"), (2, other, "en", "a"), (3, late, "en", "a"), (4, torn, "en", "a")], [(10, item, 1)], coverage=0.01)
+    assert got[2, 10].coverage == 1 and got[2, 10].n_slots == 4
+    assert got[3, 10].n_matched == got[3, 10].n_windows - 7 and got[3, 10].n_slots == 4
+    assert all(got[k].n_slots == 0 and got[k].coverage < 0.3 for k in got if k[0] in (1, 4))
+    # The majority stays when lenient; ties go to the greater string.
+    assert set(leaks(spark, [(2, other, "en", "a"), (3, late, "en", "a")], [(10, item, 1)], lenient=True)) == {(2, 10), (3, 10)}
+
+
+def brute(doc, item, width=8):
+    """Windows of the item that stand in the document word for word, by case-blind words."""
+    a, b = doc.lower().split(), item.lower().split()
+    held = {tuple(a[i : i + width]) for i in range(len(a) - width + 1)}
+    return sum(tuple(b[i : i + width]) in held for i in range(len(b) - width + 1)), len(b) - width + 1
+
+
+def test_plain_words_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    vocab = [f"w{k}x" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(9, 30))), 1) for k in range(12)]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        del w[rng.randrange(len(w))]
+        w[rng.randrange(len(w)) : rng.randrange(len(w))] = [rng.choice(vocab)]
+        docs.append((i, " ".join(vocab[:3] + w), "en", "a"))
+    want = {}
+    for i, text, *_ in docs:
+        for k, item, _ in items:
+            n, of = brute(text, item)
+            if n and n / of >= 0.5:
+                want[i, k] = (n, of)
+    for lenient in (False, True):
+        got = leaks(spark, docs, items, lenient=lenient)
+        assert {k: (r.n_matched, r.n_windows) for k, r in got.items()} == want

@@ -206,7 +206,7 @@ def test_mix_meets_its_targets(spark, seed):
         assert r.source_size == sizes[s] and r.target == pytest.approx(target[s], abs=1e-6) and 0 <= r.taken <= 2 * r.size
         taken[s] += r.taken
     for s, want in target.items():
-        assert taken[s] == pytest.approx(want, abs=8 * mixing.LEAST_BLOCK + 0.02 * want)
+        assert taken[s] == math.floor(want + 0.5)
     again = mixing.mix_sources(frame(spark, rows).repartition(5)).collect()
     assert Counter(map(repr, got)) == Counter(map(repr, again))
 
@@ -220,22 +220,38 @@ def test_mix_against_the_schedule_played_slot_by_slot(spark):
     streams = defaultdict(list)
     for i, _, _, s in sorted(rows, key=lambda r: (order[r[0]] % cells, order[r[0]])):
         streams[s] += [i] * got[i].size
-    plan, low = [], 0.0
+    plan, low = [], 0
     for s in sorted(streams):
-        total = len(streams[s])
+        total, goal = len(streams[s]), math.floor(next(got[i].target for i, _, _, x in rows if x == s) + 0.5)
         blocks = math.ceil(total / mixing.LEAST_BLOCK)
-        slots = got[next(i for i, _, _, x in rows if x == s)].target * blocks / total
-        plan.append((low, low + slots, s, blocks))
-        low += slots
-    every, ranks, taken = round(low), Counter(), Counter()
-    for j in range(every):
-        x = (j * mixing.GOLDEN) % 1.0 * low
-        s, blocks = next((s, b) for a, z, s, b in plan if a <= x < z)
-        if ranks[s] < 2 * blocks:
-            k = ranks[s] % blocks
-            taken.update(streams[s][k * len(streams[s]) // blocks : (k + 1) * len(streams[s]) // blocks])
+        # The blocks in turn, until their words reach the goal.
+        parts = []
+        while goal:
+            k = len(parts) % blocks
+            parts.append(streams[s][k * total // blocks : (k + 1) * total // blocks][:goal])
+            goal -= len(parts[-1])
+        plan.append((low, low + len(parts), s, parts))
+        low += len(parts)
+    ranks, taken, first = Counter(), Counter(), {}
+    played = [next((s, p) for a, z, s, p in plan if a <= (j * mixing.GOLDEN) % 1.0 * low < z) for j in range(low)]
+    for s, parts in played + [(s, p) for a, z, s, p in plan for _ in p]:  # what is missing follows
+        if ranks[s] < len(parts):
+            taken.update(parts[ranks[s]])
+            for i in parts[ranks[s]]:
+                first.setdefault(i, len(first))
         ranks[s] += 1
     assert {i: r.taken for i, r in got.items()} == {i: taken[i] for i in got}
+    placed = sorted((r.first_slot, i) for i, r in got.items() if r.first_slot is not None)
+    assert {i for _, i in placed} == set(first)
+    blocks_of = [s for s, _ in placed]
+    assert [first[i] for _, i in placed] == sorted(first[i] for _, i in placed) or len(set(blocks_of)) < len(blocks_of)
+
+
+def test_every_small_source_meets_its_target(spark):
+    rows = [(i, " ".join(f"x{k}" for k in range(30)), "en", f"s{i:02}") for i in range(40)]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    assert all(r.taken == math.floor(r.target + 0.5) > 0 and r.first_slot is not None for r in got)
+    assert abs(sum(r.taken for r in got) - 1800) <= 40
 
 
 def test_mix_of_nothing(spark):
