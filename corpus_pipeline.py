@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it again, so a lost
 executor costs a stage at most. All stages but the last return the columns of
-``documents``.
+``documents``. What a stage wrote for itself, and its input, go when its result
+is written; checkpoints go where the session has
+``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import shared_dir
+from tessitura.llm.common import delete, drop_staged, shared_dir
 from tessitura.llm.decontaminate import contaminated
 from tessitura.llm.jaccard_join import near_duplicates
 from tessitura.llm.mixing import mix_sources
@@ -75,4 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        drop_staged(spark)
+        if k:
+            delete(spark, f"{base}/{k - 1}")
     return docs
