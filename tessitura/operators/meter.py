@@ -132,3 +132,16 @@ def mean_tempo(pieces: DataFrame, tempo: DataFrame, key: str = "piece_id") -> Da
     """(key, tempo_bpm): unweighted mean of the tempo events, 120 without any."""
     found = tempo.where("tempo > 0").groupBy(key).agg(F.avg(60e6 / F.col("tempo")).alias("tempo_bpm"))
     return pieces.select(key).join(found, key, "left").na.fill(120.0, ["tempo_bpm"])
+
+
+def seconds_at(rows: DataFrame, tempo: DataFrame, ticks_per_beat: int, key: str = "piece_id") -> DataFrame:
+    """Adds second: the tempo map integrated to each row's tick; 120 BPM before
+    the first event. Each change carries the seconds up to it, so a row needs
+    the last change only."""
+    w = Window.partitionBy(key).orderBy("tick")
+    last = tempo.groupBy(key, "tick").agg(F.max("tempo").alias("tempo"))
+    gap = F.col("tick") - F.coalesce(F.lag("tick").over(w), F.lit(0))
+    part = gap * F.coalesce(F.lag("tempo").over(w), F.lit(500000)) / F.lit(ticks_per_beat * 1e6)
+    changes = last.withColumn("_part", part).withColumn("_at", F.sum("_part").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.col("tick"))
+    met = asof_last(rows, changes.select(key, "tick", "tempo", "_at", "_from"), ["tempo", "_at", "_from"], key).na.fill({"tempo": 500000, "_at": 0.0, "_from": 0})
+    return met.withColumn("second", F.col("_at") + (F.col("tick") - F.col("_from")) * F.col("tempo") / F.lit(ticks_per_beat * 1e6)).drop("tempo", "_at", "_from")

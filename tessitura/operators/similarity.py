@@ -126,10 +126,12 @@ def content_metrics(source: DataFrame, output: DataFrame, meter: DataFrame, tick
     )
 
 
-def constraint_report(source: DataFrame, output: DataFrame, transpose: int, most_voices: DataFrame, ticks_per_beat: int, key: str = "piece_id") -> DataFrame:
+def constraint_report(source: DataFrame, output: DataFrame, transpose: int, most_voices: DataFrame, ticks_per_beat: int, key: str = "piece_id", preserved: DataFrame | None = None) -> DataFrame:
     """(key, violations, violation_score, feasible) of outputs against sources.
 
-    ``source`` has is_melody flags; ``most_voices`` has (key, limit).
+    ``source`` has is_melody flags; ``most_voices`` has (key, limit);
+    ``preserved``, if given, has (key, roundtrip, ticks_per_beat, smf_format,
+    meta), whether the output kept these.
     """
     fields = ["tick", "duration_ticks", "pitch", "channel", "velocity"]
     wanted = source.where("is_melody").withColumn("pitch", F.col("pitch") + transpose)
@@ -144,8 +146,12 @@ def constraint_report(source: DataFrame, output: DataFrame, transpose: int, most
     gap = F.abs(F.col("end_b") - F.col("end_a"))
     error = gap / F.greatest("end_a", F.lit(1))
     share = F.col("n_b") / F.greatest("n_a", F.lit(1))
+    kept = ("roundtrip", "ticks_per_beat", "smf_format", "meta") if preserved is not None else ()
+    if preserved is not None:
+        every = every.join(preserved.select(key, *kept), key, "left")
     checks = [
         ("empty_midi", F.col("n_b") == 0),
+        *((name, ~F.coalesce(name, F.lit(False))) for name in kept),
         ("melody", F.col("melody_lost")),
         ("length", (gap > max(1, ticks_per_beat // 16)) | (error > 0.05)),
         ("note_count", ~share.between(0.9, 1.1)),

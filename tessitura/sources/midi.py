@@ -7,6 +7,7 @@ and delta times are relational.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,11 +93,21 @@ def probe(files: DataFrame) -> DataFrame:
 
 def acquire(files: DataFrame, artist: str, shortest: float = 5.0, longest: float = 1800.0) -> DataFrame:
     """Manifest rows (artist_id, path, sha256, duration_s, tracks, source) of
-    files whose length is within bounds."""
+    files whose length is within bounds; :func:`acquisition_report` says whether
+    they are enough."""
     found = probe(files).where(F.col("duration_s").between(shortest, longest))
     return found.select(F.lit(artist).alias("artist_id"), "path", "sha256", "duration_s", "tracks", F.lit("local").alias("source"))
 
 
+def acquisition_report(files: DataFrame, accepted: DataFrame, least: int = 30) -> DataFrame:
+    """One row (n_files, n_accepted, warning, error): a warning below ``least``
+    files, an error without any."""
+    met = files.select("path").join(accepted.select("path", F.lit(1).alias("_a")), "path", "left")
+    counts = met.agg(F.count("*").alias("n_files"), F.count("_a").alias("n_accepted"))
+    few = F.when(F.col("n_accepted").between(1, least - 1), F.format_string("fewer than %d files", F.lit(least)))
+    return counts.select("*", few.alias("warning"), F.when(F.col("n_accepted") == 0, F.lit("no usable file")).alias("error"))
+
+
 def clips(rows: DataFrame, limit: int = 15) -> DataFrame:
     """Adds clip_s: the length of a clip, clamped."""
     return rows.withColumn("clip_s", clip_seconds(F.col("duration_s"), limit))
@@ -104,25 +115,39 @@ def clips(rows: DataFrame, limit: int = 15) -> DataFrame:
 
 # Bounds of an input that is offered for transformation.
 LIMITS = {"bytes": 10_000_000, "notes": 10_000, "seconds": 900.0, "bars": 10_000}
+WARNINGS = {"control_change": "controllers", "pitch_bend": "pitch bends", "aftertouch": "channel pressure", "polytouch": "key pressure"}
 
 
 def input_problems(files: DataFrame) -> DataFrame:
     """(path, problem) of files that may not be transformed: unreadable, too
-    large, drums, note-offs without note-ons, no or too many notes, too long."""
+    large, drums, note-offs without note-ons, no or too many notes, too long,
+    too many bars."""
     checked = checked_files(files).join(files.select("path", "length"), "path")
     raw = raw_events(files)
     marked = raw.withColumn("d", F.when(F.col("kind") == "note_on", 1).when(F.col("kind") == "note_off", -1)).where("d IS NOT NULL")
     lost = events.unmatched_offs(marked, ["path", "track", "channel", "data1"], ["path"])
     counts = raw.groupBy("path").agg(F.count_if(F.col("kind") == "note_on").alias("notes"), F.count_if((F.col("channel") == 9) & (F.col("kind") == "note_on")).alias("drums"))
-    every = checked.join(counts, "path", "left").join(lost, "path", "left").join(probe(files).select("path", "duration_s"), "path", "left").na.fill(0, ["notes", "drums", "unmatched"])
+    ends = raw.groupBy("path").agg(F.max("tick").alias("end_tick"))
+    beats = raw.join(checked_files(files).where("ok").select("path", "ticks_per_beat"), "path").withColumn("tick", F.col("tick") / F.col("ticks_per_beat"))
+    signatures = beats.where("kind = 'time_signature'").select("path", "tick", "numerator", "denominator")
+    bars = meter.length_in_bars(signatures, ends.join(checked.select("path", "ticks_per_beat"), "path").select("path", (F.col("end_tick") / F.col("ticks_per_beat")).alias("end_tick")), 1, "path")
+    every = checked.join(counts, "path", "left").join(lost, "path", "left").join(probe(files).select("path", "duration_s"), "path", "left").join(bars, "path", "left").na.fill(0, ["notes", "drums", "unmatched"])
     tests = [
         ("unreadable", ~F.col("ok")), ("size", F.col("length") > LIMITS["bytes"]), ("drums", F.col("drums") > 0), ("unbalanced", F.col("unmatched") > 0),
-        ("notes", F.col("ok") & ~F.col("notes").between(1, LIMITS["notes"])), ("length", F.col("duration_s") > LIMITS["seconds"]),
+        ("notes", F.col("ok") & ~F.col("notes").between(1, LIMITS["notes"])), ("length", F.col("duration_s") > LIMITS["seconds"]), ("bars", F.col("length_bars") > LIMITS["bars"]),
     ]
     found = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in tests]))
     return every.select("path", F.explode(found).alias("problem"))
 
 
+def performance_warnings(raw: DataFrame, key: str = "path") -> DataFrame:
+    """(key, warning): what a score keeps not of a performance, with counts."""
+    named = F.create_map(*(F.lit(x) for pair in WARNINGS.items() for x in pair))
+    counts = raw.where(F.col("kind").isin(*WARNINGS)).groupBy(key, "kind").agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.concat_ws(" ", F.col("n").cast("string"), named[F.col("kind")])))
+    return counts.groupBy(key).agg(F.concat(F.lit("performance events: "), F.array_join(parts, ", ")).alias("warning"))
+
+
 def encoded(notes: DataFrame, meta: DataFrame, ticks_per_beat: int, smf_format: int = 1, key: str = "piece_id") -> DataFrame:
     """(key, content): a MIDI file per piece; format 1 has a track of meta
     events and one of notes. A piece's events are bounded and meet in one group."""
@@ -140,16 +165,50 @@ def encoded(notes: DataFrame, meta: DataFrame, ticks_per_beat: int, smf_format:
     return ordered.groupBy(key).applyInPandas(write, f"{key} {notes.schema[key].dataType.simpleString()}, content binary")
 
 
+def write_midi(pieces: DataFrame, folder: str) -> None:
+    """The sink: a file ``name`` with ``content`` per row, under ``folder`` of
+    any store that the executors reach. Tasks overwrite what an attempt before
+    them left, so retries do no harm."""
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        for pdf in batches:
+            for name, raw in zip(pdf["name"], pdf["content"], strict=True):
+                path = f"{root}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(raw))
+            yield pdf[["name"]]
+
+    pieces.select("name", "content").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+
+
 def merged_performance(encoded_events: DataFrame, original: DataFrame, policy: str) -> DataFrame:
     """Output events with the original's controllers and bends put back."""
     return encoded_events.unionByName(events.kept_performance(original, policy), allowMissingColumns=True)
 
 
+def performance_problems(written: DataFrame, original: DataFrame, merged: DataFrame, policy: str, key: str) -> DataFrame:
+    """(key, kind, problem): events that the merge lost or invented."""
+    columns = merged.columns
+    wanted = merged_performance(written, original, policy).select(*columns)
+    lost = wanted.exceptAll(merged).select(key, "kind", F.lit("lost").alias("problem"))
+    return lost.unionAll(merged.exceptAll(wanted).select(key, "kind", F.lit("invented").alias("problem")))
+
+
 def described(files: DataFrame) -> DataFrame:
-    """(path, sha256, notes): notes of each file as sorted structs."""
-    n = notes_of(raw_events(files))
-    lists = n.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("tick", "channel", "pitch", "velocity", "duration_ticks"))).alias("notes"))
-    return files.select("path", "sha256").join(lists, "path", "left")
+    """(path, sha256, tracks, duration_s, notes): notes of each file as sorted
+    structs, in seconds under the file's tempo map."""
+    raw, known = raw_events(files), probe(files)
+    n = notes_of(raw).withColumn("end_tick", F.col("tick") + F.col("duration_ticks"))
+    times = F.explode(F.array(*(F.struct(F.lit(e).alias("end"), F.col(c).alias("at")) for e, c in ((0, "tick"), (1, "end_tick")))))
+    marks = n.withColumn("n", F.monotonically_increasing_id()).select("path", "n", "channel", "pitch", "velocity", times.alias("t")).select("path", "n", "channel", "pitch", "velocity", "t.end", F.col("t.at").alias("tick"))
+    timed = meter.seconds_at(marks, raw.where("kind = 'tempo'").select("path", "tick", "tempo"), 1, "path")  # in beats of one tick
+    timed = timed.join(checked_files(files).select("path", "ticks_per_beat"), "path").withColumn("s", F.col("second") / F.col("ticks_per_beat"))
+    each = timed.groupBy("path", "n", "channel", "pitch", "velocity").agg(F.max(F.when(F.col("end") == 0, F.col("s"))).alias("start_s"), F.max(F.when(F.col("end") == 1, F.col("s"))).alias("end_s"))
+    lists = each.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_s", "pitch", "channel", "end_s", "velocity"))).alias("notes"))
+    return known.join(lists, "path", "left").select("path", "sha256", "tracks", "duration_s", "notes")
 
 
 def end_of(notes: DataFrame, key: str = "path") -> DataFrame:

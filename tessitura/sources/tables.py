@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import json_safe
+from ..functions.scalar import hash_uniform, json_safe
 from ..schemas import MANIFEST
 
 
@@ -25,9 +25,10 @@ def scores_by_title(rows: DataFrame) -> DataFrame:
     return rows.groupBy("composer", "title").agg(F.array_sort(F.collect_set("midi_score")).alias("paths"))
 
 
-def json_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A JSON artifact under a fixed schema; anything else fails to parse."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+def json_rows(spark: SparkSession, path: str, schema: StructType, whole: bool = False) -> DataFrame:
+    """A JSON artifact under a fixed schema; anything else fails to parse. Lines
+    are rows; a ``whole`` file is one document, an object or an array of them."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=whole)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +68,17 @@ def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) ->
     flat.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def opened(df: DataFrame) -> DataFrame:
+    """Structs opened into columns ``struct_field``; other nested columns as JSON text."""
+    columns = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "struct":
+            columns += [F.col(f"`{f.name}`.`{x}`").alias(f"{f.name}_{x}") for x in f.dataType.names]
+        else:
+            columns.append(F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map") else F.col(f.name))
+    return df.select(*columns)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; doubles that JSON can't hold become null."""
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
@@ -77,6 +89,19 @@ def append_progress(df: DataFrame, path: str) -> None:
     write_json(df, path, "append")
 
 
+def report_lines(sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(section, line_no, line): a Markdown table per section, of any size, as
+    rows; each is ordered by the columns named with it."""
+    found = None
+    for name, df, order in sections:
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+        body = df.select(F.lit(name).alias("section"), (F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)) + 2).cast("long").alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+        head = [(name, 1, "| " + " | ".join(df.columns) + " |"), (name, 2, "|" + "---|" * len(df.columns))]
+        body = df.sparkSession.createDataFrame(head, "section string, line_no long, line string").unionAll(body)
+        found = body if found is None else found.unionAll(body)
+    return found
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; ``most`` rows are a report's limit."""
     rows = df.limit(most).collect()
@@ -90,6 +115,17 @@ def survey_form(pairs: DataFrame, dimensions: list[str]) -> DataFrame:
     return each.select(F.format_string("%s__%02d", F.col("pair_id").cast("string"), F.col("i")).alias("question_id"), "pair_id", "dimension", F.format_string("Rate %s of pair %s from 1 to 5.", "dimension", F.col("pair_id").cast("string")).alias("text"))
 
 
+def abx_form(pairs: DataFrame, seed: int) -> DataFrame:
+    """(question_id, pair_id, a, b, x_is): for every pair which side is A, and
+    which of them X repeats, drawn from the pair's hash."""
+    left, x = hash_uniform(F.lit(seed), F.lit("side"), F.col("pair_id")) < 0.5, hash_uniform(F.lit(seed), F.lit("x"), F.col("pair_id")) < 0.5
+    return pairs.select(
+        F.format_string("%s__abx", F.col("pair_id").cast("string")).alias("question_id"), "pair_id",
+        F.when(left, F.col("input")).otherwise(F.col("output")).alias("a"), F.when(left, F.col("output")).otherwise(F.col("input")).alias("b"),
+        F.when(x, F.lit("a")).otherwise(F.lit("b")).alias("x_is"),
+    )
+
+
 def gate(records: DataFrame, criteria: dict[str, str]) -> DataFrame:
     """(criterion, passed): each an aggregate SQL predicate over the records."""
     one = records.agg(*[F.expr(p).alias(f"c{i}") for i, p in enumerate(criteria.values())])
