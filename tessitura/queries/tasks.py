@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import genetic, tasks
+from ..plans.score import OUTPUT_GENOME
+from ..plans.score import TICKS_PER_BEAT as TPB
+from .features import LEGACY
 from .registry import query
 from .statistics import _h
 
@@ -113,17 +116,62 @@ def random_other_label(s):
     return s.piece.select("piece_id", tasks.random_other_label(F.pmod("group_id", F.lit(5)), 5, 2, F.col("piece_id")).cast("long").alias("target"))
 
 
-def _search(s, genes):
-    from ..operators.melody import melody_flags
+def _global_tasks(s, which=None):
+    """Tasks with the tempo of their source and the mean vector of their target."""
+    from ..operators import meter, profiles
+    from .features import _legacy_long
 
-    return genetic.search(_matrix(s).select("task_id", "source_id", "target_label"), melody_flags(s.note).drop("ordinal", "ambiguous"), genetic.target_vectors(s.note, s.piece), genes, population=16, generations=8)
+    met = _legacy_long(s).join(s.piece.select("piece_id", F.col("composer").alias("target_label")), "piece_id")
+    stats = profiles.corpus_stats(met, ["target_label"]).select("target_label", "idx", F.col("mean").alias("target"))
+    m = _matrix(s) if which is None else which(_matrix(s))
+    bpm = meter.mean_tempo(s.piece, s.tempo).select(F.col("piece_id").alias("source_id"), F.col("tempo_bpm").alias("bpm"))
+    return m.join(bpm, "source_id").join(F.broadcast(genetic.arrays_by_label(stats, "target_label", ["target"])), "target_label")  # a row per label
+
+
+def inverse_covariances(s):
+    """Pseudo-inverses of the features' covariances by label: 42 by 42 each."""
+    import numpy as np
+
+    from ..operators import features, profiles
+    from .features import _legacy
+
+    cov = {}
+    for r in profiles.covariance(_legacy(s).join(s.piece.select("piece_id", "composer"), "piece_id"), list(features.LEGACY_FEATURES), ["composer"]).collect():  # 903 rows a label
+        of = cov.setdefault(r.composer, np.zeros((42, 42)))
+        of[r.i, r.j] = of[r.j, r.i] = r.cov
+    return {label: profiles.pseudo_inverse(c) for label, c in cov.items()}
 
 
 @query()
 def ga_search4(s):
-    return _search(s, genetic.GLOBAL_GENES)
+    return genetic.search_global(_global_tasks(s), s.note, None, TPB, population=16, generations=8, patience=6)
+
+
+@query()
+def ga_search4_mahalanobis(s):
+    return genetic.search_global(_global_tasks(s), s.note, inverse_covariances(s), TPB, population=16, generations=8, patience=6)
 
 
 @query()
 def ga_search5(s):
-    return _search(s, genetic.LOCAL_GENES)
+    from ..operators import features, intervals, meter, profiles
+    from ..plans.checkpoints import checkpoint
+
+    style = features.long_vector(features.style_vector(features.structured_notes(s.note, s.meter, TPB), TPB), features.STYLE_FEATURES)
+    profile = profiles.target_profile(style.join(s.piece.select("piece_id", F.col("composer").alias("target_label")), "piece_id"), ["target_label"])
+    arrays = genetic.arrays_by_label(checkpoint(profile), "target_label", ["mean", "std", "total"])
+    voices = intervals.polyphony(s.note).join(s.piece, "piece_id").groupBy(F.col("composer").alias("target_label")).agg(F.max("max_polyphony").cast("int").alias("limit"))
+    bars = meter.bars(s.meter, intervals.end_ticks(s.note), TPB).groupBy(F.col("piece_id").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("bar_start", "bar_end"))).alias("b"))
+    bars = bars.select("source_id", F.col("b.bar_start").alias("bar_starts"), F.col("b.bar_end").alias("bar_ends"))
+    tasks_of = _matrix(s).join(F.broadcast(arrays.join(voices, "target_label")), "target_label").join(bars, "source_id")  # a row per label
+    return genetic.search_local(tasks_of, s.note, TPB, population=16, generations=8, patience=6)
+
+
+OUT_LEGACY = f"SELECT * FROM (WITH note AS (SELECT * FROM output_note), skyline AS (SELECT piece_id, tick, max(pitch) AS pitch FROM output_note GROUP BY piece_id, tick), ends AS (SELECT piece_id, max(tick + duration_ticks) AS end_tick FROM output_note GROUP BY piece_id) SELECT piece_id, CAST(idx AS INTEGER) AS idx, value FROM ({LEGACY}) v) x"
+
+
+@query(OUT_LEGACY, rounds="value")
+def search_candidate_features(s):
+    """What the searches measure of a candidate, for every piece under one genome."""
+    g = OUTPUT_GENOME
+    return genetic.measured(s.note, s.tempo, (g["transpose"], g["density"], g["duration"], g["velocity"]), TPB)
