@@ -185,3 +185,21 @@ def train_profiles(long: DataFrame, samples: DataFrame, key: str = "piece_id", l
     spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     ids = samples.join(folds).where("fold <> held").groupBy("held", label).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ","), 256).alias("fingerprint"))
     return left.join(ids, ["held", label]).select(F.col("held").alias("fold"), label, "idx", mean.alias("mean"), guarded(spread).alias("std"), "n", "fingerprint")
+
+
+def permutation_of_best(summaries: DataFrame, tests: DataFrame) -> DataFrame:
+    """(model, p) of the best summary's model; no row where it was not tested."""
+    return best_summary(summaries).join(tests, "model").select("model", "p").limit(1)
+
+
+def ablation_order(summaries: DataFrame) -> DataFrame:
+    """(variant, mean, spread, position): variants by their mean balanced
+    accuracy over repeats, the best first. One row per variant is ordered."""
+    means = summaries.groupBy("variant").agg(F.round(F.avg("balanced_accuracy"), 9).alias("mean"), F.stddev_pop("balanced_accuracy").alias("spread"))
+    return means.withColumn("position", F.row_number().over(Window.orderBy(F.col("mean").desc(), "variant")))
+
+
+def external_rows(summaries: DataFrame, fields: list[str]) -> DataFrame:
+    """(model, line): the report's rows of the external scenario only."""
+    cells = [F.coalesce(F.round(c, 3).cast("decimal(9,3)").cast("string"), F.lit("-")) for c in fields]
+    return summaries.where("scenario = 'external'").select("model", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("model"), *cells), F.lit(" |")).alias("line"))

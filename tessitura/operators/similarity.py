@@ -162,3 +162,29 @@ def constraint_report(source: DataFrame, output: DataFrame, transpose: int, most
     return every.select(key, found.alias("violations"), error.alias("length_error"), share.alias("note_count_ratio"), F.col("voices_b").alias("max_polyphony")).select(
         "*", (F.size("violations") + F.col("length_error") + F.abs(F.col("note_count_ratio") - 1)).alias("violation_score"), (F.size("violations") == 0).alias("feasible")
     )
+
+
+def task_content(source: DataFrame, parsed: DataFrame, pieces: DataFrame, meta: DataFrame, parsed_meta: DataFrame, key: str = "piece_id") -> DataFrame:
+    """Content metrics of a task's output as it was parsed: lengths in beats, as
+    a ratio and its error, note counts, voices, notes without length, and what
+    of the source was preserved. ``pieces``: (key, ticks_per_beat)."""
+    def side(notes: DataFrame, name: str) -> DataFrame:
+        voices = polyphony(notes, key).select(key, F.col("max_polyphony").alias(f"max_polyphony_{name}"), F.col("mean_polyphony").alias(f"mean_polyphony_{name}"))
+        counts = notes.groupBy(key).agg(F.count("*").alias(f"note_count_{name}"), ratio(F.count_if(F.col("duration_ticks") == 0), F.count("*")).alias(f"zero_duration_ratio_{name}"), F.max(F.col("tick") + F.col("duration_ticks")).alias(f"_end_{name}"))
+        return counts.join(voices, key, "left")
+
+    events = lambda m, name: m.groupBy(key).agg(F.count("*").alias(f"meta_event_count_{name}"))
+    torn = meta.exceptAll(parsed_meta).unionAll(parsed_meta.exceptAll(meta)).select(key).distinct().withColumn("_torn", F.lit(True))
+    every = pieces.select(key, "ticks_per_beat").join(side(source, "input"), key).join(side(parsed, "output"), key, "left")
+    every = every.join(events(meta, "input"), key, "left").join(events(parsed_meta, "output"), key, "left").join(torn, key, "left").na.fill(0)
+    length = F.when(F.col("_end_input") > 0, F.col("_end_output") / F.col("_end_input")).otherwise(1.0)
+    return every.withColumns(
+        {
+            "length_beats_input": F.col("_end_input") / F.col("ticks_per_beat"),
+            "length_beats_output": F.col("_end_output") / F.col("ticks_per_beat"),
+            "length_ratio": length,
+            "length_error": F.abs(length - 1),
+            "note_count_ratio": F.when(F.col("note_count_input") > 0, F.col("note_count_output") / F.col("note_count_input")).otherwise(1.0),
+            "meta_preserved": ~F.coalesce("_torn", F.lit(False)),
+        }
+    ).drop("_end_input", "_end_output", "_torn", "ticks_per_beat")

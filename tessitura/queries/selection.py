@@ -12,6 +12,7 @@ from ..sources import midi, tables
 from .content import STYLE, _style
 from .features import LEGACY, PC, _legacy_long
 from .files import BACK, _folder
+from .melody import SWEEP
 from .records import DISTANCE, GRP, MEANS, _compared
 from .registry import query
 from .tasks import MATRIX
@@ -257,3 +258,37 @@ def report_lines(s):
     labels = s.piece.groupBy("composer").agg(F.count("*").alias("n"))
     folds = s.piece.groupBy("fold").agg(F.count_distinct("group_id").alias("groups"), F.min("piece_id").alias("first"))
     return tables.report_lines([("labels", labels, ["composer"]), ("folds", folds, ["fold"])])
+
+
+@query(f"SELECT 'repeat ' || repeat AS model, CAST(0.125 + repeat AS DOUBLE) AS p FROM ({SUMMARY}) x WHERE variant = 'full' ORDER BY round(balanced_accuracy, 9) DESC, repeat LIMIT 1", rounds="p")
+def permutation_of_best(s):
+    named = _summaries(s).select("variant", F.concat(F.lit("repeat "), "repeat").alias("model"), F.round("balanced_accuracy", 9).alias("balanced_accuracy"))
+    tests = s.spark.createDataFrame([("repeat 0", 0.125), ("repeat 1", 1.125), ("dummy", 1.0)], "model string, p double")
+    return selection.permutation_of_best(named, tests)
+
+
+@query(f"SELECT variant, round(avg(balanced_accuracy), 9) AS mean, stddev_pop(balanced_accuracy) AS spread, CAST(row_number() OVER (ORDER BY round(avg(balanced_accuracy), 9) DESC, variant) AS INTEGER) AS position FROM ({SUMMARY}) x GROUP BY variant", rounds="mean spread")
+def ablation_order(s):
+    return selection.ablation_order(_summaries(s))
+
+
+@query("SELECT composer AS model, '| ' || composer || ' | ' || CAST(CAST(count(*) AS DECIMAL(9, 3)) AS VARCHAR) || ' | - |' AS line FROM piece WHERE fold % 2 = 0 GROUP BY composer")
+def external_report_rows(s):
+    rows = s.piece.groupBy(F.col("composer").alias("model"), F.when(F.pmod("fold", F.lit(2)) == 0, "external").otherwise("rotation").alias("scenario")).agg(F.count("*").cast("double").alias("n"))
+    return selection.external_rows(rows.withColumn("auroc", F.lit(None).cast("double")), ["n", "auroc"])
+
+
+def _content_side(table: str, name: str) -> str:
+    return f"""(SELECT piece_id, count(*) AS note_count_{name}, count_if(duration_ticks = 0) / count(*) AS zero_duration_ratio_{name}, max(tick + duration_ticks) AS e_{name}, any_value(w.max_polyphony) AS max_polyphony_{name}, any_value(w.mean_polyphony) AS mean_polyphony_{name}
+        FROM {table} n JOIN ({SWEEP.format(n=table)}) w USING (piece_id) GROUP BY piece_id)"""
+
+
+@query(
+    f"""SELECT piece_id, note_count_input, zero_duration_ratio_input, max_polyphony_input, mean_polyphony_input, note_count_output, zero_duration_ratio_output, max_polyphony_output, mean_polyphony_output, m.n AS meta_event_count_input, m.n - CAST(piece_id % 5 = 0 AS INTEGER) AS meta_event_count_output,
+        e_input / 480 AS length_beats_input, e_output / 480 AS length_beats_output, e_output / e_input AS length_ratio, abs(e_output / e_input - 1) AS length_error, note_count_output / note_count_input AS note_count_ratio, piece_id % 5 <> 0 AS meta_preserved
+    FROM {_content_side("note", "input")} a JOIN {_content_side("output_note", "output")} b USING (piece_id) JOIN (SELECT piece_id, count(*) + 1 AS n FROM meter GROUP BY piece_id) m USING (piece_id)""",
+    rounds="zero_duration_ratio_input mean_polyphony_input zero_duration_ratio_output mean_polyphony_output length_beats_input length_beats_output length_ratio length_error note_count_ratio",
+)
+def task_content(s):
+    """With the tempo event of every fifth piece lost on the way."""
+    return similarity.task_content(s.note, s.output, s.piece, s.meta, s.meta.where("NOT (piece_id % 5 = 0 AND kind = 'tempo')"))
