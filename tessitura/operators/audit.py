@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, ratio
 from .resampling import finite_stats, paired_t, signed_rank
 
 
-def lower_quantile(values: Column, share: float) -> Column:
-    """The element at ``int(share * (n - 1))`` of the sorted values: no
-    interpolation. For groups whose values fit a row."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.lit(share) * (F.size(ordered) - 1)) + 1).cast("int"))
+def lower_quantile(rows: DataFrame, by: list[str], value: str, share: float, into: str) -> DataFrame:
+    """(by, into): the element at ``int(share * (n - 1))`` of the sorted values,
+    without interpolation. Rows are counted per distinct value first, so the
+    window runs over distinct values; ticks have few."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_at", F.floor(F.lit(share) * (F.sum("_n").over(group) - 1)) + 1)
+    return placed.where("_upto >= _at").groupBy(*by).agg(F.min(value).alias(into))
 
 
 def audit_counts(notes: DataFrame, by: list[str], error: str) -> DataFrame:
     """(by, notes, zero_length, mean_error, p95_error) per split and label."""
-    return notes.groupBy(*by).agg(
-        F.count("*").alias("notes"), F.count_if(F.col("duration_ticks") <= 0).alias("zero_length"), F.avg(error).alias("mean_error"), lower_quantile(F.col(error), 0.95).alias("p95_error")
-    )
+    sums = notes.groupBy(*by).agg(F.count("*").alias("notes"), F.count_if(F.col("duration_ticks") <= 0).alias("zero_length"), F.avg(error).alias("mean_error"))
+    return sums.join(lower_quantile(notes, by, error, 0.95, "p95_error"), by)
 
 
 def meter_counts(meter: DataFrame) -> DataFrame:

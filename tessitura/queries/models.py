@@ -184,7 +184,16 @@ def representatives(s):
     return contracts.median_representatives(counts, ["composer"], "piece_id", "n")
 
 
-@query()
+_COUNTS = "SELECT composer, piece_id, count(*) AS n FROM note JOIN piece USING (piece_id) GROUP BY ALL"
+_QUANTILES = "SELECT composer, quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b, quantile_cont(n, 0.75) AS c FROM n GROUP BY composer"
+
+
+@query(
+    f"""WITH n AS ({_COUNTS}), q AS ({_QUANTILES}), x AS (SELECT composer, arg_min(piece_id, (abs(n - a), piece_id)) AS p FROM n JOIN q USING (composer) GROUP BY composer),
+    y AS (SELECT composer, arg_min(piece_id, (abs(n - b), piece_id)) AS p FROM n JOIN q USING (composer) JOIN x USING (composer) WHERE piece_id <> x.p GROUP BY composer),
+    z AS (SELECT composer, arg_min(piece_id, (abs(n - c), piece_id)) AS p FROM n JOIN q USING (composer) JOIN x USING (composer) JOIN y USING (composer) WHERE piece_id <> x.p AND piece_id <> y.p GROUP BY composer)
+    SELECT composer, 0.25::DOUBLE AS share, p AS piece_id FROM x UNION ALL SELECT composer, 0.5, p FROM y UNION ALL SELECT composer, 0.75, p FROM z"""
+)
 def quantile_representatives(s):
     counts = s.note.join(s.piece.select("piece_id", "composer"), "piece_id").groupBy("composer", "piece_id").agg(F.count("*").alias("n"))
     return contracts.quantile_representatives(counts, ["composer"], "piece_id", "n", (0.25, 0.5, 0.75))
@@ -205,7 +214,10 @@ def lr_predictions(s):
     return evaluation.fold_predictions(_vectors(s), "logistic", [0, 1, 2, 3, 4], c=1.0)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT f.fold, p.composer, count(*) AS n FROM (SELECT DISTINCT fold FROM piece) f JOIN piece p ON p.fold <> f.fold WHERE piece_id IN (SELECT piece_id FROM note) GROUP BY ALL)
+    SELECT piece_id, fold, 'dummy' AS model, composer AS true_label, guess AS predicted_label FROM piece LEFT JOIN (SELECT fold, arg_min(composer, (-n, composer)) AS guess FROM c GROUP BY fold) g USING (fold) WHERE piece_id IN (SELECT piece_id FROM note)"""
+)
 def dummy_predictions(s):
     return evaluation.fold_predictions(_vectors(s), "dummy", [0, 1, 2, 3, 4])
 
