@@ -1,4 +1,4 @@
-"""Scalar column functions with the reference semantics of the score operators."""
+"""Scalar column functions with the semantics that the score operators share."""
 
 from __future__ import annotations
 
