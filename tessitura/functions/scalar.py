@@ -136,6 +136,11 @@ def valid_vector(a: Column) -> Column:
     return (F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def comparable(a: Column, b: Column) -> Column:
+    """Both valid and of one length, so that a distance between them is defined."""
+    return F.coalesce(valid_vector(a) & valid_vector(b) & (F.size(a) == F.size(b)), F.lit(False))
+
+
 def preferred_bin(histogram: Column, current: Column) -> Column:
     """Bin of the largest mass, then the nearest to ``current``, then the
     lowest; ``current`` if the histogram is empty."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import comparable, valid_vector
 from ..operators import features, histograms, melody, profiles
 from ..plans.score import TICKS_PER_BEAT as TPB
 from .melody import REST, SIGNS, SWEEP
@@ -231,3 +232,19 @@ def variant_projection(s):
     names = set(features.variants()["without_rhythm"])
     wide = features.composition_vector(s.note, s.meter, TPB)
     return features.long_vector(wide, features.COMPOSITION_FEATURES).where(F.col("name").isin(*names)).select("piece_id", "idx", "value")
+
+
+@query(
+    """WITH m AS (SELECT piece_id, [avg(pitch), CASE WHEN piece_id % 5 = 0 THEN 'nan'::DOUBLE ELSE avg(velocity) END, CASE WHEN piece_id % 7 = 0 THEN 'inf'::DOUBLE ELSE avg(duration_ticks) END] AS v FROM note GROUP BY piece_id),
+    n AS (SELECT piece_id, CASE WHEN piece_id % 11 = 0 THEN [] WHEN piece_id % 3 = 0 THEN v[1:2] ELSE v END AS v FROM m),
+    o AS (SELECT piece_id, len(v) AS size, len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS valid FROM n)
+    SELECT piece_id, valid, valid AND size = 3 AS comparable FROM o"""
+)
+def distance_inputs(s):
+    """Which vectors a distance is defined for, and with one of three numbers."""
+    of = F.col("piece_id")
+    means = s.note.groupBy("piece_id").agg(*(F.avg(c).alias(c) for c in ("pitch", "velocity", "duration_ticks")))
+    whole = F.array(F.col("pitch"), F.when(of % 5 == 0, F.lit(float("nan"))).otherwise(F.col("velocity")), F.when(of % 7 == 0, F.lit(float("inf"))).otherwise(F.col("duration_ticks")))
+    v = F.when(of % 11 == 0, F.array().cast("array<double>")).when(of % 3 == 0, F.slice(whole, 1, 2)).otherwise(whole)
+    other = F.array(F.lit(60.0), F.lit(64.0), F.lit(240.0))
+    return means.withColumn("v", v).select("piece_id", valid_vector(F.col("v")).alias("valid"), comparable(F.col("v"), other).alias("comparable"))

@@ -91,6 +91,17 @@ def midi_acquisition(s):
     return midi.acquire(_bytes(s), "star", 5.0, 290.0).drop("sha256")
 
 
+@query(
+    f"""SELECT piece_id, problem FROM (
+        SELECT piece_id, CASE WHEN piece_id % 4 = 0 THEN 'unreadable' WHEN duration_s > 285 THEN 'length' WHEN n > 600 THEN 'notes' END AS problem
+        FROM ({PROBED}) p JOIN (SELECT piece_id, count(*) AS n FROM note GROUP BY piece_id) n USING (piece_id)
+    ) x WHERE problem IS NOT NULL"""
+)
+def midi_upload_problems(s):
+    torn = F.when(F.pmod(F.col("path").cast("long"), F.lit(4)) == 0, F.expr("substring(content, 3)")).otherwise(F.col("content"))
+    return _id(midi.upload_problems(_bytes(s).withColumn("content", torn), midi.UPLOAD | {"seconds": 285.0, "notes": 600})).select("piece_id", "problem")
+
+
 @query(
     f"""SELECT CAST((SELECT count(*) FROM piece) AS BIGINT) AS n_files, n AS n_accepted, CASE WHEN n BETWEEN 1 AND 29 THEN 'fewer than 30 files' END AS warning, CASE WHEN n = 0 THEN 'no usable file' END AS error
     FROM (SELECT count(*) AS n FROM ({PROBED}) p WHERE duration_s BETWEEN 5 AND 240) c"""

@@ -235,4 +235,4 @@ def permutation_importance(s):
         ready = df.withColumn("label", F.col("composer")).withColumn("vector", array_to_vector("vector")).withColumn("weight", F.lit(1.0))
         return fitted.transform(ready).withColumn("predicted_label", F.element_at(names, (F.col("prediction") + 1).cast("int")))
 
-    return evaluation.permutation_drop(scored, vectors.where("fold = 0"), list(range(0, 93, 8)), repeats=3, seed=3)
+    return evaluation.permutation_drop(scored, vectors.where("fold = 0"), list(range(93)), repeats=3, seed=3)

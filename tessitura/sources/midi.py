@@ -140,6 +140,22 @@ def input_problems(files: DataFrame) -> DataFrame:
     return every.select("path", F.explode(found).alias("problem"))
 
 
+# Bounds of an upload to the catalogue.
+UPLOAD = {"bytes": 10_000_000, "seconds": 900.0, "notes": 200_000}
+
+
+def upload_problems(files: DataFrame, limits: dict[str, float] = UPLOAD) -> DataFrame:
+    """(path, problem) of files that the catalogue refuses; the first that holds
+    of: size, unreadable, length, notes (too many), empty."""
+    notes = raw_events(files).groupBy("path").agg(F.count_if((F.col("kind") == "note_on") & (F.col("data2") > 0)).alias("notes"))
+    every = checked_files(files).join(files.select("path", "length"), "path").join(notes, "path", "left").join(probe(files).select("path", "duration_s"), "path", "left")
+    problem = (
+        F.when(F.col("length") > limits["bytes"], "size").when(~F.col("ok"), "unreadable").when(F.col("duration_s") > limits["seconds"], "length")
+        .when(F.col("notes") > limits["notes"], "notes").when(F.coalesce("notes", F.lit(0)) == 0, "empty")
+    )
+    return every.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def performance_warnings(raw: DataFrame, key: str = "path") -> DataFrame:
     """(key, warning): what a score keeps not of a performance, with counts."""
     named = F.create_map(*(F.lit(x) for pair in WARNINGS.items() for x in pair))
