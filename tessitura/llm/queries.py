@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
@@ -14,6 +15,7 @@ from .sharding import assign_shards
 from .token_count import count_tokens, sentencepiece_vocabulary
 from .toxicity import toxicity_report
 from .url_filter import judge_urls, labelled_urls
+from .whitening import whiten
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -62,6 +64,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_embeddings(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_count": op2_token_count,
@@ -73,6 +87,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -101,4 +117,30 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT row_number() OVER () AS id, * FROM (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w, count(*) AS m FROM pieces GROUP BY ALL)),
+        runs AS (
+            SELECT lang, m, a, lead(a) OVER next AS b, lead(a, 2) OVER next AS c
+            FROM (SELECT id, lang, m, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w) WINDOW next AS (PARTITION BY id ORDER BY i)
+        ), f AS (
+            SELECT lang, 1 AS words, a AS phrase, sum(m)::BIGINT AS f FROM runs GROUP BY ALL
+            UNION ALL SELECT lang, 2, a || ' ' || b, sum(m)::BIGINT FROM runs WHERE b IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, sum(m)::BIGINT FROM runs WHERE c IS NOT NULL GROUP BY ALL
+        ), total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+        c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND f >= 10),
+        longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY ALL),
+        part AS (SELECT lang || ' ' || phrase AS part, f FROM f WHERE f >= 10),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, lang || ' ' || array_to_string(w[1:k], ' ') AS lp, lang || ' ' || array_to_string(w[k + 1 :], ' ') AS rp
+            FROM c, (VALUES (1), (2)) AS v(k) WHERE k < words
+        ), s AS (
+            SELECT cuts.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts JOIN part l ON l.part = lp JOIN part r ON r.part = rp
+        ), worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT worst.* FROM worst LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * worst.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+    """,
 }
