@@ -15,6 +15,7 @@ from .sharding import assign_shards
 from .token_count import count_tokens, sentencepiece_vocabulary
 from .toxicity import toxicity_report
 from .url_filter import judge_urls, labelled_urls
+from .vector_near_dups import vector_near_duplicates
 from .whitening import whiten
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,6 +73,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_embeddings(spark, sf_dir))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_duplicates(_embeddings(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_collocations": op13_collocations,
 }
 
