@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, staged
+from .common import mixed, partitions, small_batches, staged
 
 #: What ends a piece, and what separates words inside it.
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 GAPS = r"[\x20\x09]+"
 #: Words whose runs a task adds up before it sends them.
 CHUNK_WORDS = 1 << 20
+#: Buckets that a task counts one after the other; each then fits into memory as a rule.
+BUCKETS_A_TASK = 8
 #: What duckdb holds of a bucket before it goes to the task's disk.
 BUCKET_MB = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -135,17 +139,13 @@ def _packer(buckets: int, chunk: int = CHUNK_WORDS) -> Callable:
 
 
 def _counter(least: int, megabytes: int = BUCKET_MB) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for packet in batch.column("packet"):
-                    yield from pa.ipc.open_stream(packet.as_buffer())
-
+    def counted(packets: Iterator[pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        entries = (batch for packet in packets for batch in pa.ipc.open_stream(packet.as_buffer()))
         with tempfile.TemporaryDirectory() as spill, duckdb.connect() as con:
             con.execute(f"SET threads = 1; SET memory_limit = '{megabytes}MB'; SET preserve_insertion_order = false")
             con.execute(f"SET temp_directory = '{spill}'")
-            con.register("packets", pa.RecordBatchReader.from_batches(_ENTRIES, entries()))
-            con.sql("CREATE TEMP TABLE runs AS SELECT lang, head, tail, words, sum(w)::BIGINT AS f FROM packets GROUP BY ALL")
+            con.register("packets", pa.RecordBatchReader.from_batches(_ENTRIES, entries))
+            con.execute("CREATE TEMP TABLE runs AS SELECT lang, head, tail, words, sum(w)::BIGINT AS f FROM packets GROUP BY ALL")
             found = con.sql(f"""
                 SELECT lang, head AS phrase, words::INTEGER AS words, sum(f)::BIGINT AS f FROM runs GROUP BY lang, head, words HAVING sum(f) >= {least}
                 UNION ALL SELECT lang, head || ' ' || tail, 3, f FROM runs WHERE tail IS NOT NULL AND f >= {least}
@@ -153,6 +153,11 @@ def _counter(least: int, megabytes: int = BUCKET_MB) -> Callable:
             """)
             yield from found.to_arrow_reader(10_000)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column("bucket").to_pylist(), batch.column("packet"), strict=True))
+        for _, packets in groupby(rows, key=itemgetter(0)):
+            yield from counted(packet for _, packet in packets)
+
     return count
 
 
@@ -160,9 +165,12 @@ def phrase_counts(docs: DataFrame, least: int, buckets: int | None = None) -> Da
     """(lang, phrase, words, f) of all runs of one to three words met ``least``
     times or more, and rows of ``words`` 0, whose f adds up to all words of a
     language; staged."""
-    buckets = buckets or max(12, partitions(docs.sparkSession))
-    packets = pieces(docs).mapInArrow(_packer(buckets), "bucket long, packet binary")
-    return staged(packets.repartition(buckets, "bucket").select("packet").mapInArrow(_counter(least), _COUNTS))
+    tasks = max(12, partitions(docs.sparkSession))
+    buckets = buckets or BUCKETS_A_TASK * tasks
+    with small_batches(docs.sparkSession):
+        packets = pieces(docs).mapInArrow(_packer(buckets), "bucket long, packet binary")
+        dealt = packets.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        return staged(dealt.mapInArrow(_counter(least), _COUNTS))
 
 
 def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside: int = 50, buckets: int | None = None) -> DataFrame:
