@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -41,12 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """As :func:`checkpointed`, but as a Parquet table, for what is read in part."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_STAGED: list[str] = []
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -55,12 +57,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables that :func:`staged` has written so far; for callers
-    whose result is already written. Checkpoints go with their DataFrames where
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """The tables that :func:`staged` writes inside go at the end; for callers
+    who write their result inside. Tables of other calls stay. Checkpoints go
+    with their DataFrames where
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
-    while _STAGED:
-        delete(spark, _STAGED.pop())
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 @contextmanager
@@ -85,6 +95,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Longer words, in bytes, are not remembered, so that what tasks remember of
+#: words is bounded in bytes too.
+LONGEST = 64
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for the frequent words of a task.
 
@@ -99,7 +114,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -125,13 +142,15 @@ class WordTable(dict):
         self.filled = 0
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = self.filled + len(self.new)
+        found = self.filled + len(self.new)
+        if len(word) <= LONGEST:
+            self[word] = found
         self.new.append(self.fact(word))
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """One row of facts per word."""
-        if len(self) > self.most:
+        if self.filled > self.most:
             self._reset()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, raw_texts, shipped
+from .common import LONGEST, mixed, raw_texts, shipped
 from .labelled import remainder, training_sample
 
 BUCKETS = 1 << 18
@@ -44,7 +44,9 @@ class _Pairs(dict):
         self.shapes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self.words)
+        found = len(self.words)
+        if len(word) <= LONGEST:
+            self[word] = found
         self.words.append(xxhash.xxh3_64_intdigest(word.lower()))
         self.shapes.append(xxhash.xxh3_64_intdigest(_RUN.sub(rb"\1", word.translate(_SHAPE)), 1))
         return found
@@ -65,7 +67,7 @@ class Featurizer:
         words = text.split() if text else []
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self.known) > self.known.most:
+        if len(self.known.words) > self.known.most:
             self._reset()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         n = len(self.known.words)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, shipped
+from .common import LONGEST, raw_texts, shipped
 
 START = "▁"
 NONE = -1
@@ -85,7 +85,9 @@ class _Counts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = self.automaton.count(word.decode("utf-8", "replace"))
+        found = self.automaton.count(word.decode("utf-8", "replace"))
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
 

@@ -263,10 +263,10 @@ def _compare_ball(cosine: float) -> Callable:
     return compare
 
 
-def _dealt(rows: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
     """With ``parts``, in how many blocks the rows that agree on ``by`` come,
     and ``block``, in which a row is. Checkpointed counts: the join can be split."""
-    many = checkpointed(rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1"))
+    many = checkpointed(rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
     parts = F.coalesce("parts", F.lit(1))
     return rows.join(many, by, "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
 
