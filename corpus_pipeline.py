@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import delete, drop_staged, shared_dir
+from tessitura.llm.common import delete, own_tables, shared_dir, staged
 from tessitura.llm.decontaminate import contaminated
 from tessitura.llm.jaccard_join import near_duplicates
 from tessitura.llm.mixing import mix_sources
@@ -32,17 +32,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs.select(*COLUMNS), model, keep=COLUMNS).where("NOT toxic").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each in place of a doc_id, in a table, so that
+    they keep it; null and repeated doc_ids then do no harm."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest
-    doc_id stays; of rows that repeat it, all do."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near duplicates one row stays: that with the
+    smallest doc_id (null last; of rows that repeat it, any one). Rows are
+    judged each by its own text, whatever doc_id they have or repeat; rows
+    without words are alone and stay."""
+    rows = _numbered(docs)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stay = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return rows.join(stay.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), lenient=True).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold a benchmark item go, with a null or repeated doc_id too:
+    each is judged by its own text. Null and empty texts hold nothing."""
+    rows = _numbered(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), benchmark, lenient=True).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        with own_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-        drop_staged(spark)
         if k:
             delete(spark, f"{base}/{k - 1}")
     return docs
