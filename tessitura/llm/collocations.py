@@ -31,13 +31,17 @@ from .common import mixed, partitions, small_batches, staged
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 GAPS = r"[\x20\x09]+"
 #: Words whose runs a task adds up before it sends them.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Buckets that a task counts one after the other; each then fits into memory as a rule.
-BUCKETS_A_TASK = 8
+BUCKETS_A_TASK = 3
+#: Parts of a language that are ranked before the best of them.
+DEALS = 64
 #: What duckdb holds of a bucket before it goes to the task's disk.
 BUCKET_MB = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_ENTRIES = pa.schema([("lang", pa.large_string()), ("head", pa.large_string()), ("tail", pa.large_string()), ("words", pa.int8()), ("w", pa.int64())])
+#: ``key`` is one word or two, a line break (which no word has) and the language;
+#: ``tail`` the third word of a run that goes on.
+_ENTRIES = pa.schema([("key", pa.large_string()), ("tail", pa.large_string()), ("w", pa.int64())])
 _COUNTS = "lang string, phrase string, words int, f long"
 #: The word count of a row that holds all words of a language.
 TOTAL = 0
@@ -77,7 +81,9 @@ def _entries(langs: pa.Array, texts: pa.Array, m: np.ndarray, buckets: int) -> t
     first, f = _summed(of * size + at, weight)
     bucket = mixed(lang_hashes[of[first]] * _A + hashes[at[first]] * _B) % np.uint64(buckets)
     texts_of = lambda places: known.take(pa.array(places))
-    parts = [(bucket, of[first], texts_of(at[first]), pa.nulls(len(first), pa.large_string()), np.ones(len(first), np.int8), f)]
+    text = lambda x: pa.scalar(x, pa.large_string())
+    ends_with = pc.binary_join_element_wise(text(""), lang.dictionary, text("\n"))
+    parts = [(bucket, pc.binary_join_element_wise(texts_of(at[first]), ends_with.take(pa.array(of[first])), text("")), pa.nulls(len(first), pa.large_string()), f)]
 
     pair = np.flatnonzero(left > 0)
     if len(pair):
@@ -87,16 +93,13 @@ def _entries(langs: pa.Array, texts: pa.Array, m: np.ndarray, buckets: int) -> t
         chosen, f = _summed(heads.astype(np.int64) * size + third, weight[pair])
         third, spot = third[chosen], pair[chosen]
         bucket = mixed(lang_hashes[of[spot]] * _A + hashes[at[spot]] * _B + hashes[at[spot + 1]] * _C) % np.uint64(buckets)
-        head = pc.binary_join_element_wise(texts_of(at[spot]), texts_of(at[spot + 1]), pa.scalar(" ", pa.large_string()))
-        tail = known.take(pa.array(third - 1, mask=third == 0))
-        parts.append((bucket, of[spot], head, tail, np.full(len(spot), 2, np.int8), f))
+        head = pc.binary_join_element_wise(texts_of(at[spot]), texts_of(at[spot + 1]), text(" "))
+        key = pc.binary_join_element_wise(head, ends_with.take(pa.array(of[spot])), text(""))
+        parts.append((bucket, key, known.take(pa.array(third - 1, mask=third == 0)), f))
 
     bucket = np.concatenate([p[0] for p in parts]).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    columns = [
-        lang.dictionary.take(pa.array(np.concatenate([p[1] for p in parts]))), pa.concat_arrays([p[2] for p in parts]), pa.concat_arrays([p[3] for p in parts]),
-        pa.array(np.concatenate([p[4] for p in parts])), pa.array(np.concatenate([p[5] for p in parts])),
-    ]
+    columns = [pa.concat_arrays([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts]), pa.array(np.concatenate([p[3] for p in parts]))]
     return pa.Table.from_arrays(columns, schema=_ENTRIES).take(pa.array(order)), bucket[order]
 
 
@@ -145,11 +148,17 @@ def _counter(least: int, megabytes: int = BUCKET_MB) -> Callable:
             con.execute(f"SET threads = 1; SET memory_limit = '{megabytes}MB'; SET preserve_insertion_order = false")
             con.execute(f"SET temp_directory = '{spill}'")
             con.register("packets", pa.RecordBatchReader.from_batches(_ENTRIES, entries))
-            con.execute("CREATE TEMP TABLE runs AS SELECT lang, head, tail, words, sum(w)::BIGINT AS f FROM packets GROUP BY ALL")
+            con.execute("CREATE TEMP TABLE runs AS SELECT key, tail, sum(w)::BIGINT AS f FROM packets GROUP BY ALL")
+            con.execute(f"""
+                CREATE TEMP VIEW found AS
+                SELECT key, NULL AS tail, sum(f)::BIGINT AS f FROM runs GROUP BY key HAVING sum(f) >= {least}
+                UNION ALL SELECT key, tail, f FROM runs WHERE tail IS NOT NULL AND f >= {least}
+            """)
+            con.execute("CREATE TEMP MACRO lang_of(key) AS substr(key, instr(key, chr(10)) + 1)")
+            con.execute("CREATE TEMP MACRO head_of(key) AS substr(key, 1, instr(key, chr(10)) - 1)")
             found = con.sql(f"""
-                SELECT lang, head AS phrase, words::INTEGER AS words, sum(f)::BIGINT AS f FROM runs GROUP BY lang, head, words HAVING sum(f) >= {least}
-                UNION ALL SELECT lang, head || ' ' || tail, 3, f FROM runs WHERE tail IS NOT NULL AND f >= {least}
-                UNION ALL SELECT lang, '', {TOTAL}, sum(f)::BIGINT FROM runs WHERE words = 1 GROUP BY lang
+                SELECT lang_of(key) AS lang, head_of(key) || coalesce(' ' || tail, '') AS phrase, (1 + contains(head_of(key), ' ')::INTEGER + (tail IS NOT NULL)::INTEGER)::INTEGER AS words, f FROM found
+                UNION ALL SELECT lang_of(key), '', {TOTAL}, sum(f)::BIGINT FROM runs WHERE NOT contains(head_of(key), ' ') GROUP BY ALL
             """)
             yield from found.to_arrow_reader(10_000)
 
@@ -211,7 +220,7 @@ def collocations(docs: DataFrame, least: int = 10, first: int = 2000, inside: in
 
     # The first of every part of a language, then the first of those.
     best = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    deal = F.pmod(F.xxhash64("phrase"), F.lit(max(12, partitions(docs.sparkSession))))
+    deal = F.pmod(F.xxhash64("phrase"), F.lit(DEALS))
     ranked = scored.withColumn("deal", deal).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*best))).where(F.col("rank") <= first)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
