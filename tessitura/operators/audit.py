@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, ratio
+from ..plans.checkpoints import checkpoint
+from .order import exact_median
 from .resampling import finite_stats, paired_t, signed_rank
 
 
@@ -33,10 +35,12 @@ def meter_counts(meter: DataFrame) -> DataFrame:
 def record_summary(records: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, mean_delta, median_delta, positive, fallback_rate, all_valid) of
     task records (delta, fallback, valid); ``by`` may be empty."""
-    return records.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(0.5)).alias("median_delta"), F.count_if(F.col("delta") > 0).alias("positive"),
+    records = checkpoint(records.withColumns({} if by else {"_all": F.lit(0)}).select(*(keys := by or ["_all"]), "delta", "fallback", "valid"))
+    sums = records.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("positive"),
         F.avg(F.col("fallback").cast("double")).alias("fallback_rate"), F.bool_and("valid").alias("all_valid"),
     )
+    return sums.join(exact_median(records, keys, "delta", "median_delta"), keys, "left").select(*by, "n", "mean_delta", "median_delta", "positive", "fallback_rate", "all_valid")
 
 
 def direction(source: Column, target: Column) -> Column:

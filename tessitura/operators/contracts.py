@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_bits
+from ..plans.checkpoints import checkpoint
+from .order import exact_median, exact_quantiles
 
 
 def leakage(train: DataFrame, test: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
@@ -91,31 +93,29 @@ def content_duplicates(files: DataFrame, sha: str, label: str) -> DataFrame:
 
 
 def quantile_representatives(rows: DataFrame, by: list[str], key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """(by, share, key): for each quantile in turn the nearest row not yet taken.
+    """(by, share, key): for each quantile in turn the nearest row not yet
+    taken, ties by key.
 
-    Picking is sequential per group; only (key, value) pairs meet.
+    The pick for the k-th share is one of the k rows nearest to its quantile, so
+    only these meet: a few per group, whatever its size.
     """
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, found = pdf.sort_values([key]), []
-        for share in shares:
-            if not len(left):
-                break
-            gap = (left[value] - pdf[value].quantile(share)).abs()
-            at = gap.sort_values(kind="stable").index[0]
-            found.append((share, left.loc[at, key]))
-            left = left.drop(at)
-        out = pd.DataFrame(found, columns=["share", key])
-        for b in by:
-            out[b] = pdf[b].iloc[0]
-        return out[[*by, "share", key]]
-
-    kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
-    return rows.select(*by, key, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(pick, f"{kinds}, share double, {key} {rows.schema[key].dataType.simpleString()}")
+    rows = checkpoint(rows.select(*by, key, F.col(value).cast("double").alias("_value")))
+    quantiles = exact_quantiles(rows, by, "_value", shares).select(*by, F.posexplode("quantiles").alias("_k", "_q"))
+    near = Window.partitionBy(*by, "_k").orderBy(F.abs(F.col("_value") - F.col("_q")), key)
+    few = rows.join(quantiles, by).withColumn("_at", F.row_number().over(near)).where(F.col("_at") <= len(shares)).where(F.col("_at") <= F.col("_k") + 1)
+    turns = few.groupBy(*by, "_k").agg(F.array_sort(F.collect_list(F.struct("_at", F.col(key).alias("key")))).alias("_near"))
+    turns = turns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_k", "_near"))).alias("_turns"))
+    kind = f"array<{rows.schema[key].dataType.simpleString()}>"
+    first_free = lambda taken, turn: F.filter(turn["_near"]["key"], lambda x: ~F.array_contains(taken, x))
+    taken = F.aggregate("_turns", F.array().cast(kind), lambda taken, turn: F.concat(taken, F.slice(first_free(taken, turn), 1, 1)))
+    named = turns.select(*by, F.posexplode(taken).alias("_k", key))
+    return named.select(*by, F.element_at(F.array(*map(F.lit, shares)), F.col("_k") + 1).alias("share"), key)
 
 
 def median_representatives(rows: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """(by, key): the row nearest to the group's median, ties by key."""
-    middle = rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    rows = checkpoint(rows.select(*by, key, value))
+    middle = exact_median(rows, by, value, "_m")
     return rows.join(middle, by).groupBy(*by).agg(F.min_by(key, F.struct(F.abs(F.col(value) - F.col("_m")), key)).alias(key))
 
 

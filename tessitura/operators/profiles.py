@@ -6,10 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpoint
+from .exact import exact_means
+from .order import exact_median, exact_quantiles
+
 
 def corpus_stats(long: DataFrame, by: list[str]) -> DataFrame:
-    """(by, idx, n, mean, median, std): population deviation, exact median."""
-    return long.groupBy(*by, "idx").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_pop("value").alias("std"))
+    """(by, idx, n, mean, median, std): population deviation, exact median, by
+    radix selection; means and deviations are the same bits in any partitioning."""
+    long = checkpoint(long.select(*by, "idx", "value"))
+    keys = [*by, "idx"]
+    means = exact_means(long, keys).select(*keys, "n", "mean", F.sqrt("var").alias("std"))
+    return means.join(exact_median(long, keys, "value"), keys).select(*keys, "n", "mean", "median", "std")
 
 
 def covariance(wide: DataFrame, names: list[str], by: list[str]) -> DataFrame:
@@ -80,7 +88,8 @@ def iqr_outliers(rows: DataFrame, fields: list[str], key: str, by: list[str] | N
     by = by or []
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields]))
     long = rows.select(key, *by, cells.alias("c")).select(key, *by, "c.*").where("value IS NOT NULL")
-    q = long.groupBy(*by, "field").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
+    long = checkpoint(long)
+    q = exact_quantiles(long, [*by, "field"], "value", (0.25, 0.75)).where(F.col("n") >= least).withColumnRenamed("quantiles", "q")
     spread = F.col("q")[1] - F.col("q")[0]
     outside = (F.col("value") < F.col("q")[0] - 1.5 * spread) | (F.col("value") > F.col("q")[1] + 1.5 * spread)
     return long.join(q, [*by, "field"]).where(outside).select(*by, "field", key, "value")

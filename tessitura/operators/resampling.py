@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_bits, hash_ordinal, ratio
+from ..plans.checkpoints import checkpoint
+from .order import exact_median
 
 
 def numbered(df: DataFrame, n: int, name: str) -> DataFrame:
@@ -73,9 +75,9 @@ def finite_stats(rows: DataFrame, value: str, by: list[str] | None = None) -> Da
     """(by, n, mean, std, median, min, max) of the finite values."""
     x = F.col(value).cast("double")
     good = rows.withColumn("_x", F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
-    return good.groupBy(*(by or [])).agg(
-        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.percentile("_x", F.lit(0.5)).alias("median"), F.min("_x").alias("min"), F.max("_x").alias("max")
-    )
+    good = checkpoint(good.withColumns({} if by else {"_all": F.lit(0)}).select(*(by := by or ["_all"]), "_x"))
+    sums = good.groupBy(*by).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    return sums.join(exact_median(good, by, "_x"), by, "left").select(*[b for b in by if b != "_all"], "n", "mean", "std", "median", "min", "max")
 
 
 def safe_correlation(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

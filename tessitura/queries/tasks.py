@@ -121,7 +121,8 @@ def _global_tasks(s, which=None):
     from ..operators import meter, profiles
     from .features import _legacy_long
 
-    met = _legacy_long(s).join(s.piece.select("piece_id", F.col("composer").alias("target_label")), "piece_id")
+    # Rounded, so that the last bits of a piece's own features don't differ between runs.
+    met = _legacy_long(s).withColumn("value", F.round("value", 9)).join(s.piece.select("piece_id", F.col("composer").alias("target_label")), "piece_id")
     stats = profiles.corpus_stats(met, ["target_label"]).select("target_label", "idx", F.col("mean").alias("target"))
     m = _matrix(s) if which is None else which(_matrix(s))
     bpm = meter.mean_tempo(s.piece, s.tempo).select(F.col("piece_id").alias("source_id"), F.col("tempo_bpm").alias("bpm"))
@@ -133,13 +134,17 @@ def inverse_covariances(s):
     import numpy as np
 
     from ..operators import features, profiles
+    from ..operators.exact import exact_covariances
+    from ..plans.checkpoints import checkpoint
     from .features import _legacy
 
-    cov = {}
-    for r in profiles.covariance(_legacy(s).join(s.piece.select("piece_id", "composer"), "piece_id"), list(features.LEGACY_FEATURES), ["composer"]).collect():  # 903 rows a label
-        of = cov.setdefault(r.composer, np.zeros((42, 42)))
-        of[r.i, r.j] = of[r.j, r.i] = r.cov
-    return {label: profiles.pseudo_inverse(c) for label, c in cov.items()}
+    names, inverse = list(features.LEGACY_FEATURES), {}
+    wide = _legacy(s).select("piece_id", *[F.round(c, 9).alias(c) for c in names]).join(s.piece.select("piece_id", "composer"), "piece_id")
+    for r in exact_covariances(checkpoint(wide), names, ["composer"]).collect():  # a row a label
+        of = np.zeros((len(names), len(names)))
+        of[np.triu_indices(len(names))] = r.cov
+        inverse[r.composer] = profiles.pseudo_inverse(of + np.triu(of, 1).T)
+    return inverse
 
 
 @query()
