@@ -76,7 +76,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[fl
     ranks = want.select(*keys, F.explode(F.array("_low", "_high")).alias("rank")).distinct()
     at = values_at(rows, keys, value, ranks)
     both = want.join(at.withColumnsRenamed({"rank": "_low", "value": "_a"}), [*keys, "_low"]).join(at.withColumnsRenamed({"rank": "_high", "value": "_b"}), [*keys, "_high"])
-    x = F.when(F.col("_low") == F.col("_high"), F.col("_a")).otherwise((F.col("_high") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.col("_low")) * F.col("_b"))
+    x = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.col("_high") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.col("_low")) * F.col("_b"))
     packed = both.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_k", x.alias("x")))).alias("_q"))
     return packed.select(*by, "n", F.col("_q.x").alias("quantiles"))
 

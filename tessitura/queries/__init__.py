@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, content, features, files, melody, meter, models, notes, openset, records, rolls, segments, selection, statistics, streams, tasks, text  # noqa: F401
+from . import audits, content, features, files, melody, meter, models, nested, notes, openset, records, rolls, segments, selection, statistics, streams, tasks, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -33,7 +33,7 @@ def test_quantiles_are_those_of_numpy(spark, shares):
         for share, x in zip(shares, got[g][1], strict=True):
             at = (len(vs) - 1) * share
             low, high = math.floor(at), math.ceil(at)
-            want = plain[low] if low == high else (high - at) * plain[low] + (at - low) * plain[high]
+            want = plain[low] if plain[low] == plain[high] else (high - at) * plain[low] + (at - low) * plain[high]
             assert x == want
     whole = order.exact_median(spark.createDataFrame([(float(i),) for i in range(10)], "v double"), [], "v").collect()
     assert [r.median for r in whole] == [4.5]
