@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts, evaluation, features, forests, histograms, nested
+from ..operators import contracts, evaluation, forests, histograms, nested, scenario
 from ..plans.checkpoints import checkpoint
 from .features import PC
 from .models import _vectors
@@ -101,3 +101,13 @@ def nested_cv_forest(s):
     predictions, choices = nested.nested_forest(_vectors(s).select("piece_id", "vector"), samples, _folds(s), [(9, 1), (46, 2)], INNER, trees=5, depth=4)
     scored = evaluation.summary_metrics(predictions, ["repeat", "outer_fold"])
     return choices.join(scored, ["repeat", "outer_fold"])
+
+
+@query()
+def open_scenario(s):
+    """Every region in turn unknown to regressions of the others: calibrated threshold, ranking metrics."""
+    regions = [r.r_name for r in s.table("region").select("r_name").distinct().sort("r_name").collect()]  # labels, not rows
+    samples = s.piece.select("piece_id", F.col("composer").alias("label"), F.pmod("piece_id", F.lit(OUTER)).cast("int").alias("fold"))
+    shares = histograms.histogram(s.note, F.pmod("pitch", F.lit(12)), 12).select("piece_id", F.col("values").alias("vector"))
+    metrics, _ = scenario.open_scenarios(checkpoint(shares), samples, scenario.rotations(regions), OUTER, [0, 1], target=0.8)
+    return metrics
