@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6, ratio
+from .digests import set_digests, train_digests
 
 
 def _ascii(text: pd.Series) -> pd.Series:
@@ -101,9 +102,8 @@ def unknown_targets(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def split_partitions(members: DataFrame, by: list[str], key: str) -> DataFrame:
-    """(by, n, ids): how many, and a digest of the sorted ids in place of the list."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",")
-    return members.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("ids"))
+    """(by, n, ids): how many, and an order-free digest of the ids in place of the list."""
+    return set_digests(members, by, key).withColumnRenamed("digest", "ids")
 
 
 def nested_centroid(long: DataFrame, samples: DataFrame, variants: DataFrame, repeat: str = "repeat", key: str = "piece_id", label: str = "composer") -> DataFrame:
@@ -183,7 +183,7 @@ def train_profiles(long: DataFrame, samples: DataFrame, key: str = "piece_id", l
     left = sums.join(folds).where("fold <> held").groupBy("held", label, "idx").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
     mean = F.col("s") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    ids = samples.join(folds).where("fold <> held").groupBy("held", label).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ","), 256).alias("fingerprint"))
+    ids = train_digests(samples, [label], "fold", key).select("held", label, F.col("digest").alias("fingerprint"))
     return left.join(ids, ["held", label]).select(F.col("held").alias("fold"), label, "idx", mean.alias("mean"), guarded(spread).alias("std"), "n", "fingerprint")
 
 

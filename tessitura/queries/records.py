@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import melody, profiles, records, similarity, tasks
+from ..operators import digests, melody, profiles, records, similarity, tasks
 from ..plans.score import TICKS_PER_BEAT as TPB
 from .content import GRP, MARKED, MEANS, STYLE
 from .melody import SWEEP
@@ -36,6 +36,19 @@ def task_membership(s):
     return found.unionByName(strange.where("problem = 'source is no test sample'")).unionByName(records.membership_problems(torn.where("source_id % 11 = 0"), samples).where("problem <> 'source is no test sample'"))
 
 
+@query(
+    f"""SELECT task_id, CASE WHEN NOT EXISTS (SELECT 1 FROM piece p WHERE p.composer = m.target_label AND p.fold <> m.fold) THEN 'no training set' ELSE 'other training set' END AS problem FROM ({MATRIX}) m
+    WHERE NOT EXISTS (SELECT 1 FROM piece p WHERE p.composer = m.target_label AND p.fold <> m.fold) OR (source_id % 7 = 0 AND EXISTS (SELECT 1 FROM piece p WHERE p.composer = m.target_label AND p.fold = m.fold))"""
+)
+def task_digests(s):
+    """Tasks that carry the digest of their training set; every seventh that of the whole label."""
+    every = digests.set_digests(s.piece, ["composer"], "piece_id").select(F.col("composer").alias("target_label"), F.col("digest").alias("_all"))
+    right = digests.train_digests(s.piece, ["composer"], "fold", "piece_id").select(F.col("composer").alias("target_label"), F.col("held").alias("fold"), F.col("digest").alias("_right"))
+    tasks = _matrix(s).join(every, "target_label").join(right, ["target_label", "fold"], "left")
+    tasks = tasks.withColumn("train_digest", F.when(F.pmod("source_id", F.lit(7)) == 0, F.col("_all")).otherwise(F.col("_right")))
+    return digests.stale_digests(tasks, s.piece, "composer", "fold", "piece_id")
+
+
 @query(
     f"""WITH m AS ({MATRIX}), p AS (SELECT * FROM m WHERE source_id % 4 <> 0 OR target_label <> 'ASIA')
     SELECT 'task count' AS problem, 'full ' || count(*) AS detail FROM p HAVING count(*) <> (SELECT count(*) * 4 FROM piece)

@@ -17,6 +17,10 @@ from .records import DISTANCE, GRP, MEANS, _compared
 from .registry import query
 from .tasks import MATRIX
 
+#: An order-free digest of a group's piece_ids: sums of the 64-bit limbs of their sha256.
+_LIMBS = ", ".join(f"sum(CAST('0x' || substr(sha256(CAST(piece_id AS VARCHAR)), {16 * k + 1}, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616" for k in range(4))
+DIGEST = f"sha256(concat_ws('|', count(*), {_LIMBS}))"
+
 SLUG = "regexp_replace(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
@@ -120,7 +124,7 @@ def open_rotations(s):
 @query(
     f"""WITH v AS MATERIALIZED (SELECT p.fold, p.composer, p.piece_id, x.idx, x.value FROM ({STYLE}) x JOIN piece p USING (piece_id)), h AS (SELECT DISTINCT fold AS held FROM piece),
     m AS (SELECT held, composer, idx, avg(value) AS mean, sqrt(greatest(avg(value * value) - avg(value) ** 2, 0)) AS sd, count(*) AS n FROM v JOIN h ON fold <> held GROUP BY ALL),
-    i AS (SELECT held, composer, sha256(string_agg(CAST(piece_id AS VARCHAR), ',' ORDER BY CAST(piece_id AS VARCHAR))) AS fingerprint FROM piece JOIN h ON fold <> held GROUP BY ALL)
+    i AS (SELECT held, composer, {DIGEST} AS fingerprint FROM piece JOIN h ON fold <> held GROUP BY ALL)
     SELECT held AS fold, composer, CAST(idx AS INTEGER) AS idx, mean, CASE WHEN sd < 1e-6 THEN 1.0 ELSE sd END AS std, n, fingerprint FROM m JOIN i USING (held, composer)""",
     rounds="mean std",
 )
@@ -185,7 +189,7 @@ def unknown_targets(s):
     return selection.unknown_targets(asked, s.table("region").select(F.col("r_name").alias("label")))
 
 
-@query("SELECT fold, composer, count(*) AS n, sha256(string_agg(CAST(piece_id AS VARCHAR), ',' ORDER BY CAST(piece_id AS VARCHAR))) AS ids FROM piece GROUP BY ALL")
+@query(f"SELECT fold, composer, count(*) AS n, {DIGEST} AS ids FROM piece GROUP BY ALL")
 def split_partitions(s):
     return selection.split_partitions(s.piece, ["fold", "composer"], "piece_id")
 
