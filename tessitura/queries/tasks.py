@@ -157,8 +157,8 @@ def ga_search4_mahalanobis(s):
     return genetic.search_global(_global_tasks(s), s.note, inverse_covariances(s), TPB, population=16, generations=8, patience=6)
 
 
-@query()
-def ga_search5(s):
+def local_tasks(s):
+    """Tasks with the style profile and polyphony of their target, and their source's bars."""
     from ..operators import features, intervals, meter, profiles
     from ..plans.checkpoints import checkpoint
 
@@ -168,8 +168,48 @@ def ga_search5(s):
     voices = intervals.polyphony(s.note).join(s.piece, "piece_id").groupBy(F.col("composer").alias("target_label")).agg(F.max("max_polyphony").cast("int").alias("limit"))
     bars = meter.bars(s.meter, intervals.end_ticks(s.note), TPB).groupBy(F.col("piece_id").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("bar_start", "bar_end"))).alias("b"))
     bars = bars.select("source_id", F.col("b.bar_start").alias("bar_starts"), F.col("b.bar_end").alias("bar_ends"))
-    tasks_of = _matrix(s).join(F.broadcast(arrays.join(voices, "target_label")), "target_label").join(bars, "source_id")  # a row per label
-    return genetic.search_local(tasks_of, s.note, TPB, population=16, generations=8, patience=6)
+    return _matrix(s).join(F.broadcast(arrays.join(voices, "target_label")), "target_label").join(bars, "source_id")  # a row per label
+
+
+@query()
+def ga_search5(s):
+    return genetic.search_local(local_tasks(s), s.note, TPB, population=16, generations=8, patience=6)
+
+
+def _few_results(s):
+    """Searches of the tasks that have no result yet: every third source's."""
+    from ..plans.checkpoints import checkpoint
+
+    pending = _global_tasks(s, lambda tasks: tasks.where("source_id % 3 = 0"))
+    return checkpoint(genetic.run_global(pending, s.note, None, TPB, population=12, generations=5, patience=4))
+
+
+@query(f"SELECT task_id, 0::BIGINT AS differ FROM ({MATRIX}) m WHERE source_id % 3 = 0 AND source_id IN (SELECT piece_id FROM note)")
+def ga_result_notes(s):
+    """How many notes of a search's output are not those of the relational
+    transformation of its source under the genome that it returned."""
+    from ..operators.transform import transform_notes
+
+    found = _few_results(s)
+    best = genetic.search_results(found)
+    genes = best.select("task_id", *[F.col(g).alias(f"g_{g}") for g in genetic.GLOBAL_GENES]).join(_matrix(s).select("task_id", "source_id"), "task_id")
+    fields = ["task_id", "tick", "channel", "pitch", "velocity", "duration_ticks"]
+    moved = transform_notes(s.note.join(genes, F.col("piece_id") == F.col("source_id")), *[F.col(f"g_{g}") for g in genetic.GLOBAL_GENES]).select(*fields)
+    both = moved.withColumn("n", F.lit(1)).unionAll(genetic.search_notes(found).select(*fields).withColumn("n", F.lit(-1)))
+    wrong = both.groupBy(*fields).agg(F.sum("n").alias("n")).where("n <> 0").groupBy("task_id").agg(F.sum(F.abs("n")).alias("differ"))
+    return best.select("task_id").join(wrong, "task_id", "left").na.fill(0, ["differ"])
+
+
+@query()
+def ga_results(s):
+    """The final genome of every pending task, and the digest of its MIDI file."""
+    from ..sources import midi
+
+    found = _few_results(s)
+    source = _matrix(s).select("task_id", "source_id")
+    meta = s.meta.join(source, F.col("piece_id") == F.col("source_id")).select("task_id", *[c for c in s.meta.columns if c != "piece_id"])
+    files = midi.encoded(genetic.search_notes(found), meta, TPB, key="task_id").select("task_id", F.sha2("content", 256).alias("file"))
+    return genetic.search_results(found).join(files, "task_id", "left")
 
 
 OUT_LEGACY = f"SELECT * FROM (WITH note AS (SELECT * FROM output_note), skyline AS (SELECT piece_id, tick, max(pitch) AS pitch FROM output_note GROUP BY piece_id, tick), ends AS (SELECT piece_id, max(tick + duration_ticks) AS end_tick FROM output_note GROUP BY piece_id) SELECT piece_id, CAST(idx AS INTEGER) AS idx, value FROM ({LEGACY}) v) x"
