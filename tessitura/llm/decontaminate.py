@@ -104,13 +104,27 @@ def _canonical(at: int, width: int, words: list[bytes], kind: np.ndarray, plain:
     return " ".join(str(kind[i]) + "\0" if kind[i] != LITERAL and not plain else words[i].strip(EDGES).decode("utf-8", "replace").lower() for i in range(at, at + width))
 
 
-_OUT = "id long, at int, hash long, words string, slots array<string>, plain boolean, half boolean, total int, halves int, wide int"
+_OUT = "id long, at int, run int, hash long, words string, slots array<string>, plain boolean, half boolean, total int, halves int, wide int"
+
+
+def _runs(at: np.ndarray, found: np.ndarray, is_plain: np.ndarray, is_half: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The first of every run of equal windows without values, and its length."""
+    if not len(at):
+        return at, at, found, is_plain
+    values = np.concatenate([[0], np.cumsum(kind != LITERAL)])
+    free = values[at + width] == values[at]
+    goes_on = free[1:] & free[:-1] & (at[1:] == at[:-1] + 1) & (found[1:] == found[:-1]) & (is_plain[1:] == is_plain[:-1]) & (is_half[at[1:]] == is_half[at[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    return at[first], np.diff(np.append(first, len(at))), found[first], is_plain[first]
 
 
 def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) -> DataFrame:
     """Windows of templates that are half literal at least, and windows of
     lower-case words: those that are not, with ``plain`` or ``bits`` all.
 
+    Windows without values that follow each other and are equal, as a repeated
+    word makes them, are one row: ``run`` of them from ``at`` on.
+
     ``halves`` counts the former where they hold half the words of a text at
     least, and is 0 else.
     """
@@ -141,13 +155,14 @@ def _windowed(table: DataFrame, key: str, width: int, plain: bool, bits=None) ->
                     if near is not None:
                         hit = near[(found & np.uint64(BITS - 1)).astype(np.int64)] & near[(found >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)]
                         at, found, is_plain = at[hit], found[hit], is_plain[hit]
+                    at, run, found, is_plain = _runs(at, found, is_plain, is_half, kind, w)
                     rows.extend(
-                        (key, a, h, _canonical(a, w, words, kind, p), _slots(a, w, words, kind), p, f, total, halves, w)
-                        for a, h, p, f in zip(at.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), is_half[at].tolist(), strict=True)
+                        (key, a, r, h, _canonical(a, w, words, kind, p), _slots(a, w, words, kind), p, f, total, halves, w)
+                        for a, r, h, p, f in zip(at.tolist(), run.tolist(), found.view(np.int64).tolist(), is_plain.tolist(), is_half[at].tolist(), strict=True)
                     )
-            columns = list(zip(*rows, strict=True)) or [()] * 10
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "hash", "words", "slots", "plain", "half", "total", "halves", "wide"])
+            columns = list(zip(*rows, strict=True)) or [()] * 11
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "at", "run", "hash", "words", "slots", "plain", "half", "total", "halves", "wide"])
 
     return table.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
 
@@ -185,8 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
     wides = sorted({width, *(r.wide for r in items.select("wide").distinct().collect())})  # at most `width` values
     bits = spark.sparkContext.broadcast((np.packbits(on).tobytes(), wides))
 
-    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", "words", F.col("slots").alias("doc_slots"))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "words", F.col("slots").alias("item_slots"), "plain", "half", "total", "halves")
+    left = _windowed(docs.where("doc_id IS NOT NULL"), "doc_id", width, lenient, bits).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), F.col("run").alias("doc_run"), "hash", "words", F.col("slots").alias("doc_slots"))
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("run").alias("item_run"), "hash", "words", F.col("slots").alias("item_slots"), "plain", "half", "total", "halves")
     with small_batches(spark):
         met = staged(
             left.join(right, ["hash", "words"])
@@ -194,16 +209,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
             # Equal words have equal values, though kinds may differ.
             .withColumn("doc_slots", F.when(F.col("plain"), F.col("item_slots")).otherwise(F.col("doc_slots")))
             .where(F.size("doc_slots") == F.size("item_slots"))
-            .withColumn("shift", F.col("doc_at") - F.col("item_at"))
+            # Two runs meet at every shift between these, which are without gaps.
+            .withColumn("low", F.col("doc_at") - F.col("item_at") - F.col("item_run") + 1)
+            .withColumn("high", F.col("doc_at") + F.col("doc_run") - 1 - F.col("item_at"))
         )
     # Shifts that follow each other within a window's width are one passage.
     pair = ["doc_id", "item_id"]
-    by_shift = Window.partitionBy(*pair).orderBy("shift")
-    starts = F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) > width).cast("int"), F.lit(0))
-    passages = met.select(*pair, "shift").distinct().withColumn("starts", starts).withColumn("passage", F.sum("starts").over(by_shift)).drop("starts")
+    by_shift = Window.partitionBy(*pair).orderBy("low", "high")
+    reached = F.max("high").over(by_shift.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce((F.col("low") - reached > width).cast("int"), F.lit(0))
+    passages = met.select(*pair, "low", "high").distinct().withColumn("starts", starts).withColumn("passage", F.sum("starts").over(by_shift)).drop("starts")
     line = [*pair, "passage"]
-    met = met.join(passages, [*pair, "shift"])
-    values = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).groupBy(*line, "x.item_slots", "x.doc_slots").agg(F.count("*").alias("n"))
+    met = met.join(passages, [*pair, "low", "high"])
+    times = (F.col("doc_run") * F.col("item_run")).cast("long").alias("times")
+    values = met.select(*line, times, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("x")).groupBy(*line, "x.item_slots", "x.doc_slots").agg(F.sum("times").alias("n"))
 
     def one_for_one(of: str, to: str, name: str) -> DataFrame:
         """(line, name): for each value ``of`` with several ``to``, which one counts, if any."""
@@ -218,6 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cov
         .join(one_for_one("doc_slots", "item_slots", "back"), line, "left")
         .where(F.col("plain") | ~(clash("forth", "item_slots", "doc_slots") | clash("back", "doc_slots", "item_slots")))
     )
+    good = good.withColumn("item_at", F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("item_run") - 1)))
     return (
         good.groupBy(*pair)
         .agg(

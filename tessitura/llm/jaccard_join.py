@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, raw_texts, small_batches, staged, window_hashes
+from .common import WordHashes, checkpointed, partitions, raw_texts, small_batches, staged, window_hashes
 from .components import components
 
 WIDTH = 5
@@ -43,6 +44,9 @@ RANGE_BYTES = 8_000_000
 LEAST_RANGES = 16
 #: Shingles per packed batch, and the sets of one batch that make an n-gram hot.
 BATCH = 500_000
+#: Ranges that a batch is dealt over; where there are more, it is dealt over
+#: groups of ranges first, and what meets in a group over its ranges.
+FAN = 4096
 HOT = 64
 MOST = (1 << 31) - 1
 
@@ -76,38 +80,71 @@ def _range_of(gram: np.ndarray, ranges: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _batch_rows(sets: list[np.ndarray], sigs: list[int], ranges: int, salt: int) -> Iterator[tuple[int, bytes]]:
-    """(key, payload) per hash range. N-grams that many sets of this batch share
-    go to a salted key beyond the ranges; their range gets a mark, so a posting
-    list grows by one entry a batch at most times :data:`HOT`."""
+def _by_range(of: np.ndarray, hot_of: np.ndarray, doc: np.ndarray, sig: np.ndarray, lengths: np.ndarray, gram: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, payload) of the ranges that are met, and of no others."""
+    order = np.argsort(of, kind="stable")
+    met = np.union1d(of, hot_of)
+    cuts, ends = np.searchsorted(of[order], met, "left"), np.searchsorted(of[order], met, "right")
+    hot_order = np.argsort(hot_of, kind="stable")
+    hot_cuts, hot_ends = np.searchsorted(hot_of[hot_order], met, "left"), np.searchsorted(hot_of[hot_order], met, "right")
+    for r, a, b, x, y in zip(met.tolist(), cuts, ends, hot_cuts, hot_ends, strict=True):
+        part = order[a:b]
+        docs, count = np.unique(doc[part], return_counts=True)
+        yield r, _pack(sig[docs], lengths[docs], count, gram[part], hot[hot_order[x:y]])
+
+
+def _batch_rows(sets: list[np.ndarray], sigs: list[int], ranges: int, salt: int, group: int = 1) -> Iterator[tuple[int, bytes]]:
+    """(key, payload) per hash range, or per ``group`` of ranges. N-grams that
+    many sets of this batch share go to a salted key beyond the ranges; their
+    range gets a mark, so a posting list grows by one entry a batch at most
+    times :data:`HOT`."""
     lengths = np.array([len(s) for s in sets])
     gram = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), lengths)
     sig = np.array(sigs, np.uint64)
-    of = _range_of(gram, ranges)
     found, many = np.unique(gram, return_counts=True)
     hot = found[many >= HOT]
     is_hot = np.zeros(len(gram), bool)
     if len(hot):
         is_hot = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
-    hot_of = _range_of(hot, ranges)
-
-    cold = np.flatnonzero(~is_hot)
-    order = cold[np.argsort(of[cold], kind="stable")]
-    cuts = np.searchsorted(of[order], np.arange(ranges + 1))
-    hot_cuts = np.searchsorted(hot_of, np.arange(ranges + 1))
-    for r in range(ranges):
-        part, marks = order[cuts[r] : cuts[r + 1]], hot[hot_cuts[r] : hot_cuts[r + 1]]
-        if len(part) or len(marks):
-            docs, count = np.unique(doc[part], return_counts=True)
-            yield r, _pack(sig[docs], lengths[docs], count, gram[part], marks)
+    cold = ~is_hot
+    yield from _by_range(_range_of(gram[cold], ranges) // group, _range_of(hot, ranges) // group, doc[cold], sig, lengths, gram[cold], hot)
     if len(hot):
-        part = np.flatnonzero(is_hot)
-        docs, count = np.unique(doc[part], return_counts=True)
-        yield ranges + salt % ranges, _pack(sig[docs], lengths[docs], count, gram[part], hot[:0])
+        docs, count = np.unique(doc[is_hot], return_counts=True)
+        yield ranges + salt % ranges, _pack(sig[docs], lengths[docs], count, gram[is_hot], hot[:0])
+
+
+def _regroup(ranges: int):
+    """Deal what has met in a group of ranges over its ranges; the rest passes."""
+    def fine(payloads: list[bytes]) -> pa.RecordBatch:
+        parts = [_unpack(p) for p in payloads]
+        sig, n, count, gram, hot = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        hot = np.unique(hot)
+        rows = list(_by_range(_range_of(gram, ranges), _range_of(hot, ranges), np.repeat(np.arange(len(sig)), count), sig, n, gram, hot))
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), none, none, none], ["key", "payload", "doc_id", "n", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, size = [], None, 0
+        for batch in batches:
+            passes = pc.greater_equal(batch.column(0), ranges)
+            if (past := batch.filter(passes)).num_rows:
+                yield past
+            rest = batch.filter(pc.invert(passes))
+            for key, payload in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+                if held and (key != of or size >= 16 * BATCH):
+                    yield fine(held)
+                    held, size = [], 0
+                of = key
+                held.append(payload)
+                size += len(payload)
+        if held:
+            yield fine(held)
+
+    return run
 
 
-def _packer(ranges: int):
+def _packer(ranges: int, group: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         sets: list[np.ndarray] = []
@@ -115,7 +152,7 @@ def _packer(ranges: int):
         held = 0
 
         def packed() -> pa.RecordBatch:
-            rows = list(_batch_rows(sets, sigs, ranges, sigs[0]))
+            rows = list(_batch_rows(sets, sigs, ranges, sigs[0], group))
             none = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), none, none, none],
@@ -140,7 +177,8 @@ def _packer(ranges: int):
                         yield packed()
                         sets, sigs, held = [], [], 0
             sig = np.array(marks, np.uint64).view(np.int64)
-            key = ranges + np.arange(len(sig), dtype=np.int32) % ranges  # spread evenly
+            # Spread evenly, every batch from a place of its own.
+            key = (ranges + (np.arange(len(sig)) + xxhash.xxh3_64_intdigest(sig.tobytes()) % ranges) % ranges).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int32()), pa.nulls(len(sig), pa.binary()), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sig)],
                 ["key", "payload", "doc_id", "n", "sig"],
@@ -276,7 +314,12 @@ def near_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     if ranges is None:
         ranges = max(LEAST_RANGES, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     with small_batches(spark):
-        table = staged(texts.mapInArrow(_packer(ranges), _SCHEMA).groupBy("key").applyInArrow(_counter(ranges), _ENTRIES))
+        group = -(-ranges // FAN)
+        packed = texts.mapInArrow(_packer(ranges, group), _SCHEMA)
+        if group > 1:
+            tasks = max(partitions(spark), FAN)
+            packed = packed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_regroup(ranges), _SCHEMA)
+        table = staged(packed.groupBy("key").applyInArrow(_counter(ranges), _ENTRIES))
     rows = table.where("s IS NULL").select("doc_id", "n", "sig")
     entries = table.where("s IS NOT NULL")
     cuts = _order_cuts(entries)

@@ -85,3 +85,79 @@ def test_plain_words_against_brute_force(spark):
     for lenient in (False, True):
         got = leaks(spark, docs, items, lenient=lenient)
         assert {k: (r.n_matched, r.n_windows) for k, r in got.items()} == want
+
+
+def test_chants_meet_as_runs(spark):
+    """Repeated words make few rows, and the same matches as before."""
+    from tests.llm.fixtures import frame
+
+    chant = "ha " * 8000
+    docs = frame(spark, [(1, chant, "en", "a"), (2, "ha " * 40 + "and so " + "ha " * 300, "en", "a"), (3, "no such word in this one at all here", "en", "a")])
+    items = spark.createDataFrame([(10, "ha " * 800), (11, "ha " * 20), (12, "ho " * 30)], "item_id long, text string")
+    seen = []
+    original = decontaminate.staged
+
+    def counting(df):
+        table = original(df)
+        seen.append(table.count())
+        return table
+
+    decontaminate.staged = counting
+    try:
+        got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in decontaminate.contaminated(docs, items).collect()}
+    finally:
+        decontaminate.staged = original
+    assert got == {(1, 10): (793, 793), (1, 11): (13, 13), (2, 10): (793, 793), (2, 11): (13, 13)}
+    assert max(seen) < 100
+
+
+def brute_leaks(docs, items, width=8, coverage=0.5):
+    """Pairs whose literal words agree and whose numbers are one for one along
+    each alignment; for texts of lower-case words and numbers, mostly words."""
+    found = set()
+    for i, text in docs:
+        d = text.split()
+        for j, item in items:
+            b = item.split()
+            at = {k for k in range(len(b) - width + 1) if 2 * sum(not w.isdigit() for w in b[k : k + width]) >= width}
+            matched = set()
+            meets = [(k, p) for k in at for p in range(len(d) - width + 1) if all(x == y or (x.isdigit() and y.isdigit()) for x, y in zip(b[k : k + width], d[p : p + width], strict=True))]
+            shifts = sorted({p - k for k, p in meets})
+            passage, here = {}, 0
+            for n, x in enumerate(shifts):
+                here += n > 0 and x - shifts[n - 1] > width
+                passage[x] = here
+            for line in set(passage.values()):
+                mine = [(k, p) for k, p in meets if passage[p - k] == line]
+                pairs = {(x, y) for k, p in mine for x, y in zip(b[k : k + width], d[p : p + width], strict=True) if x.isdigit()}
+                bad = {q for q in pairs for r in pairs if q != r and (q[0] == r[0] or q[1] == r[1])}
+                matched |= {k for k, p in mine if not bad & {(x, y) for x, y in zip(b[k : k + width], d[p : p + width], strict=True) if x.isdigit()}}
+            if at and len(matched) >= coverage * (len(b) - width + 1):
+                found.add((i, j))
+    return found
+
+
+def test_templates_and_slots_are_those_of_brute_force(spark):
+    import random
+
+    from tests.llm.fixtures import frame
+
+    rng = random.Random(12)
+    vocab = [f"{a}{b}" for a in "bdfgklm" for b in ("ab", "el", "in", "or")]
+    word = lambda: str(rng.randint(2, 60)) if rng.random() < 0.15 else rng.choice(vocab)
+    items = [(j, " ".join(word() for _ in range(rng.randint(24, 60)))) for j in range(12)]
+    docs = []
+    for i in range(60):
+        body = [word() for _ in range(rng.randint(10, 40))]
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            part = part[rng.randint(0, 12) :]
+            values = {x: str(rng.randint(100, 999)) for x in part if x.isdigit()} if rng.random() < 0.7 else {}
+            part = [values.get(x, x) if rng.random() < 0.97 else word() for x in part]
+            at = rng.randint(0, len(body))
+            body[at:at] = part
+        docs.append((i, " ".join(body)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, [(i, t, "en", "a") for i, t in docs]), bench).collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) > 15 and got == want

@@ -189,3 +189,32 @@ def test_overlaps_are_counted_by_fragments_of_the_order(spark):
     ordered = [(2, -(2**63)), (2, -5), (2, 2**63 - 1), (3, -(2**63)), (9, 4), (jaccard_join.MOST, -(2**62)), (jaccard_join.MOST, 2**62)]
     places = [order(*x) for x in ordered]
     assert places == sorted(places) and len(set(places)) >= len(places) - 1
+
+
+def test_many_ranges_are_dealt_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FAN", 4)
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
+    rows = corpus(3, 120) + AWKWARD
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(3), ranges=37).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(repr, brute_components(rows)))
+
+
+def test_a_batch_walks_only_the_ranges_that_it_meets():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(500)]
+    sigs = list(range(500))
+
+    def took(ranges):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            rows = list(jaccard_join._batch_rows(sets, sigs, ranges, 1, -(-ranges // jaccard_join.FAN)))
+            best = min(best, time.perf_counter() - began)
+        return best, len(rows)
+
+    (few, _), (many, rows) = took(4_000), took(12_500_000)
+    assert many < 2 * few + 0.05 and rows <= jaccard_join.FAN + 1
