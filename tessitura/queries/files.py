@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoints import shared_dir
 from ..plans.score import TICKS_PER_BEAT as TPB
-from ..sources import midi, tables
+from ..sources import datasource, midi, tables, udtf
 from .registry import query
 
 FOLD = "(SELECT fold FROM piece p WHERE p.piece_id = x.piece_id)"
@@ -56,6 +56,26 @@ def midi_bytes_round_trip(s):
     return _id(midi.notes_of(midi.raw_events(_bytes(s)))).select("piece_id", "tick", "channel", "pitch", "velocity", "duration_ticks")
 
 
+@query(BACK)
+def midi_source_round_trip(s):
+    """Written and read by the data source: every file moves to its place at the commit."""
+    datasource.register(s.spark)
+    folder = _folder(s)
+    _bytes(s).select(F.concat(F.regexp_extract("path", r"(\d+)(\.midi?)?$", 1), F.lit(".mid")).alias("name"), "content").write.format("midi").mode("append").save(folder)
+    files = s.spark.read.format("midi").load(folder).where("path LIKE '%.mid' AND length > 0 AND problem IS NULL")
+    return _id(midi.notes_of(midi.raw_events(files))).select("piece_id", "tick", "channel", "pitch", "velocity", "duration_ticks")
+
+
+@query(BACK)
+def midi_events_lateral(s):
+    """Events by the table function in SQL text; broken files among them are rows with an error."""
+    udtf.register(s.spark)
+    files = _bytes(s).select("path", "content")
+    torn = files.select(F.concat(F.lit("torn-"), "path").alias("path"), F.expr("substring(content, 3)").alias("content"))
+    raw = s.spark.sql("SELECT f.path, e.* FROM {files} f, LATERAL midi_events(f.content) e WHERE e.error IS NULL", files=files.unionAll(torn))
+    return _id(midi.notes_of(raw.drop("error"))).select("piece_id", "tick", "channel", "pitch", "velocity", "duration_ticks")
+
+
 @query("SELECT piece_id, tick, 'tempo' AS kind, tempo, NULL::INTEGER AS numerator, NULL::INTEGER AS denominator FROM tempo UNION ALL SELECT piece_id, tick, 'time_signature', NULL, numerator, denominator FROM meter")
 def midi_meta_round_trip(s):
     return _id(midi.meta_of(midi.raw_events(_bytes(s)))).select("piece_id", "tick", "kind", "tempo", "numerator", "denominator")

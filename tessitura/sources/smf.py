@@ -132,6 +132,8 @@ def decode(raw: bytes) -> tuple[int, int, list[tuple[int, Event]]]:
 
 
 def _varlen(value: int) -> bytes:
+    if value < 0:
+        raise ValueError("ticks go back")
     out = [value & 0x7F]
     while value := value >> 7:
         out.append(value & 0x7F | 0x80)
