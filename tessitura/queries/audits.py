@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_seconds, tempo_microseconds
-from ..operators import audit, intervals, meter, pianoroll
+from ..operators import audit, intervals, meter, normality, pianoroll
 from ..plans.score import TICKS_PER_BEAT as TPB
 from .meter import BARS
 from .registry import query
@@ -113,3 +113,11 @@ def clip_and_tempo(s):
     kind = F.pmod("event_id", F.lit(3))
     tempo, bpm = F.when(kind == 0, 400000 + F.col("event_id")), F.when(kind == 1, (60 + F.pmod("event_id", F.lit(100))).cast("double"))
     return s.table("events").select("event_id", clip_seconds(F.col("value") / 10).cast("double").alias("clip_s"), tempo_microseconds(tempo, bpm).alias("tempo"))
+
+
+@query()
+def objective_choice(s):
+    """Of every region the paired test that its pieces' differences ask for, before and after."""
+    mean = lambda n, c: n.groupBy("piece_id").agg(F.avg("velocity").alias(c))
+    pairs = mean(s.note, "before").join(mean(s.output, "after"), "piece_id").join(s.piece.select("piece_id", "composer"), "piece_id")
+    return normality.chosen_tests(pairs, "before", "after", ["composer"]).withColumns({c: F.round(c, 9) for c in ("statistic", "p", "normality_p")})
