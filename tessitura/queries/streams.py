@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import shared_dir
-from ..streaming import notes
+from ..streaming import notes, timers
 from .registry import query
 
 
@@ -49,13 +49,26 @@ def stream_dedup(s):
     return notes.drained(notes.deduplicated(twice, ["seq"]), shared_dir(s.spark)).select("seq")
 
 
-@query(
-    """WITH raw AS (SELECT user_id AS piece_id, CAST(36 + CAST(floor(value * 100) AS BIGINT) % 48 AS INTEGER) AS pitch, event_id AS seq, CASE WHEN event_type = 'click' THEN -1 ELSE 1 END AS d FROM events),
+_PAIRING = """WITH raw AS (SELECT user_id AS piece_id, CAST(36 + CAST(floor(value * 100) AS BIGINT) % 48 AS INTEGER) AS pitch, event_id AS seq, CASE WHEN event_type = 'click' THEN -1 ELSE 1 END AS d FROM events),
     s AS (SELECT *, sum(d) OVER (PARTITION BY piece_id, pitch ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM raw),
     m AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY piece_id, pitch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM s),
     o AS (SELECT piece_id, pitch, seq, row_number() OVER (PARTITION BY piece_id, pitch ORDER BY seq) AS k FROM m WHERE d = 1),
-    z AS (SELECT piece_id, pitch, seq, row_number() OVER (PARTITION BY piece_id, pitch ORDER BY seq) AS k FROM m WHERE d = -1 AND NOT s < m)
-    SELECT piece_id, pitch, o.seq AS start_seq, z.seq AS end_seq FROM o JOIN z USING (piece_id, pitch, k)"""
-)
+    z AS (SELECT piece_id, pitch, seq, row_number() OVER (PARTITION BY piece_id, pitch ORDER BY seq) AS k FROM m WHERE d = -1 AND NOT s < m)"""
+
+
+@query(f"{_PAIRING} SELECT piece_id, pitch, o.seq AS start_seq, z.seq AS end_seq FROM o JOIN z USING (piece_id, pitch, k)")
 def stream_pairing(s):
     return notes.drained(notes.paired(_stream(s)), shared_dir(s.spark))
+
+
+LONGEST_MS = 6 * 3600 * 1000
+
+
+@query(
+    f"""{_PAIRING} SELECT piece_id, pitch, o.seq AS start_seq, z.seq AS end_seq, CASE WHEN z.seq IS NULL THEN 'hanging' ELSE 'paired' END AS reason
+    FROM o LEFT JOIN z USING (piece_id, pitch, k) JOIN events ON event_id = o.seq WHERE z.seq IS NOT NULL OR epoch_ms(events.ts) + {LONGEST_MS} <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)"""
+)
+def stream_pairing_timers(s):
+    """As stream_pairing, and notes that nothing closed within six hours of event time."""
+    with timers.rocks(s.spark):
+        return notes.drained(timers.paired_or_closed(_stream(s), LONGEST_MS), shared_dir(s.spark))

@@ -11,16 +11,30 @@ closed a note is seen once while its timer runs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = "piece_id long, pitch int, start_seq long, end_seq long, reason string"
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which map states
+    and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class PairNotes(StatefulProcessor):
     def __init__(self, longest_ms: int) -> None:
         self.longest = longest_ms
@@ -71,7 +85,6 @@ def _rows(found: list[tuple]) -> pd.DataFrame:
 def paired_or_closed(events: DataFrame, longest_ms: int, late: str = "1 hour") -> DataFrame:
     """(piece_id, pitch, start_seq, end_seq, reason): ``paired``, or ``hanging``
     with a null end. ``events``: (piece_id, pitch, ts, seq, d), d 1 for a note-on
-    and -1 for a note-off. The session's state store must be RocksDB's."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    and -1 for a note-off. Start the query inside :func:`rocks`."""
     keyed = events.select("piece_id", "pitch", "ts", "seq", "d").withWatermark("ts", late).groupBy("piece_id", "pitch")
     return keyed.transformWithStateInPandas(PairNotes(longest_ms), RESULT, outputMode="Append", timeMode="EventTime")

@@ -1,6 +1,5 @@
 """Pairing with timers: late, missing and repeated offs, and an emptied state."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessitura.streaming import timers
@@ -8,15 +7,7 @@ from tessitura.streaming import timers
 SCHEMA = "piece_id long, pitch int, ts timestamp, seq long, d int"
 
 
-@pytest.fixture
-def provider(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    yield
-    spark.conf.set(name, before) if before else spark.conf.unset(name)
-
-
-def test_notes_pair_hang_and_leave_no_state(spark, provider, tmp_path):
+def test_notes_pair_hang_and_leave_no_state(spark, tmp_path):
     batches = [
         [(1, 60, 0, 1, 1), (1, 60, 1, 2, 1), (1, 60, 5, 3, -1), (1, 61, 2, 4, 1), (1, 62, 3, 5, -1)],  # 62: an off without a note
         [(1, 60, 6, 3, -1), (1, 60, 7, 6, -1), (1, 63, 8, 7, 1)],  # the off 3 is repeated
@@ -30,8 +21,9 @@ def test_notes_pair_hang_and_leave_no_state(spark, provider, tmp_path):
         df.coalesce(1).write.parquet(f"{source}/{k:02d}")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(source))
     plan = timers.paired_or_closed(stream, 600_000, late="1 minute")
-    run = plan.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(out)
-    run.awaitTermination(100)
+    with timers.rocks(spark):
+        run = plan.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(out)
+        run.awaitTermination(100)
     assert not run.isActive
     got = {(r.piece_id, r.pitch, r.start_seq): (r.end_seq, r.reason) for r in spark.read.parquet(out).collect()}
     assert got == {
