@@ -118,12 +118,15 @@ def random_other_label(s):
 
 def _global_tasks(s, which=None):
     """Tasks with the tempo of their source and the mean vector of their target."""
-    from ..operators import meter, profiles
+    from ..operators import meter
+    from ..operators.exact import exact_means
+    from ..plans.checkpoints import checkpoint
     from .features import _legacy_long
 
     # Rounded, so that the last bits of a piece's own features don't differ between runs.
     met = _legacy_long(s).withColumn("value", F.round("value", 9)).join(s.piece.select("piece_id", F.col("composer").alias("target_label")), "piece_id")
-    stats = profiles.corpus_stats(met, ["target_label"]).select("target_label", "idx", F.col("mean").alias("target"))
+    met = checkpoint(met.select("target_label", "idx", "value"))
+    stats = exact_means(met, ["target_label", "idx"]).select("target_label", "idx", F.col("mean").alias("target"))
     m = _matrix(s) if which is None else which(_matrix(s))
     bpm = meter.mean_tempo(s.piece, s.tempo).select(F.col("piece_id").alias("source_id"), F.col("tempo_bpm").alias("bpm"))
     return m.join(bpm, "source_id").join(F.broadcast(genetic.arrays_by_label(stats, "target_label", ["target"])), "target_label")  # a row per label
