@@ -254,6 +254,12 @@ def _order_cuts(entries: DataFrame) -> list[float]:
     return entries.agg(F.percentile_approx(_order(F.col("df"), F.col("s")), shares)).first()[0] or [0.0] * len(shares)
 
 
+def _below(cut: float):
+    """Whether an n-gram comes before ``cut``. Of one parameter: with a second
+    one, defaulted or not, ``F.filter`` would pass the place in the array."""
+    return lambda g: _order(g["df"], g["s"]) < cut
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar: overlaps are counted
     within each fragment of the order, then summed per pair. ``sets`` has the
@@ -324,7 +330,7 @@ def near_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     entries = table.where("s IS NOT NULL")
     cuts = _order_cuts(entries)
     # What a set shares with others, rarest first. Its own n-grams come before.
-    ends = [F.size(F.filter("x", lambda g, c=c: _order(g["df"], g["s"]) < c)) for c in cuts]
+    ends = [F.size(F.filter("x", _below(c))) for c in cuts]
     sets = staged(
         entries.groupBy("sig")
         .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))

@@ -1,6 +1,7 @@
 """Exact copies, the Jaccard join, decontamination: against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -65,6 +66,28 @@ def brute_components(rows):
     return [(rows[a][0], len(sets[a]), min((i for i in ids[find(a)] if i is not None), default=None)) for a in range(len(rows))]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Families of edited texts: n-grams of a pair fall into the same fragment
+    of the order whatever else their texts hold."""
+    draw = random.Random(1)
+    rows = []
+    for family in range(40):
+        base = [f"w{family}_{i}" for i in range(draw.randrange(3, 60))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(draw.randrange(3)):
+                at, kind = draw.randrange(len(text)), draw.randrange(3)
+                if kind == 0:
+                    text[at] = f"x{draw.random()}"
+                elif kind == 1:
+                    text = text[: at + 1]
+                else:
+                    text.append(f"y{draw.random()}")
+            rows.append((len(rows), " ".join(text), "en", "a"))
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
 @pytest.mark.parametrize(("seed", "n"), [(2, 60), (3, 120)])
 def test_near_duplicates(spark, seed, n):
     rows = corpus(seed, n) + AWKWARD
