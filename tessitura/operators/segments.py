@@ -118,10 +118,12 @@ def end_errors(notes: DataFrame, bars: DataFrame, key: str = "piece_id") -> Data
 def frame_cells(notes: DataFrame, cells: DataFrame, key: str = "piece_id") -> DataFrame:
     """(key, pitch, step): grid cells that begin before a note's end and end
     after its start, and those (with first) that hold an onset. The cells at
-    both ends come from an as-of look-up, those between from their numbers."""
+    both ends come from an as-of look-up, those between from their numbers.
+    Where a bar has fewer ticks than cells, cells without ticks share their
+    start with one that has some; no note is looked up in them."""
     from .meter import asof_last
 
-    at = cells.select(key, F.col("cell_start").alias("tick"), "step")
+    at = cells.where("cell_end > cell_start").select(key, F.col("cell_start").alias("tick"), "step")
     inside = notes.where(F.col("pitch").between(LOW, HIGH - 1) & (F.col("duration_ticks") > 0))
     met = asof_last(inside.select(key, "pitch", "tick", (F.col("tick") + F.col("duration_ticks") - 1).alias("last")), at, ["step"], key).select(key, "pitch", F.col("step").alias("first"), F.col("last").alias("tick"))
     met = asof_last(met, at, ["step"], key)

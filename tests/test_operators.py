@@ -240,3 +240,16 @@ def test_ranking_prefers_feasible(spark):
     df = spark.createDataFrame([(1, True, 0.1, 0.0), (2, False, 9.0, 2.0), (3, True, 0.3, 0.0)], "id int, f boolean, g double, v double")
     key = tasks.ranking_key(F.col("f"), F.col("g"), F.col("v"))
     assert [r.id for r in df.orderBy(key.desc()).collect()] == [3, 1, 2]
+
+
+def test_frames_where_a_bar_has_fewer_ticks_than_cells(spark):
+    """Cells without ticks share their start with one that has some."""
+    from tessitura.operators import segments
+
+    bars = spark.createDataFrame([(1, 0, 0, 10)], "piece_id long, bar_index int, bar_start long, bar_end long")
+    notes = spark.createDataFrame([(1, 60, 9, 1), (1, 62, 0, 10)], "piece_id long, pitch int, tick long, duration_ticks long")
+    want = [(60, 15, True), *((62, k, k == 0) for k in range(16))]
+    for up in (True, False):
+        cells = segments.grid(bars).coalesce(1).sortWithinPartitions(F.col("step").asc() if up else F.col("step").desc())
+        got = segments.frame_cells(notes, cells)
+        assert sorted((r.pitch, r.step, r.onset) for r in got.collect()) == want
