@@ -86,3 +86,20 @@ def test_tables_scan_and_sink(spark, tmp_path):
     gates = {r.criterion: r.passed for r in tables.gate(df, {"some": "count(*) > 1", "none": "max(k) > 5"}).collect()}
     assert gates == {"some": True, "none": False}
     assert tables.survey_form(df.select(F.col("k").alias("pair_id")), ["style", "quality"]).count() == 4
+
+
+def test_event_batches_are_bounded_however_many_files_come_at_once():
+    import pyarrow as pa
+
+    one = smf.encode(1, 480, [[], [(t, "note_on", 0, 60, 1, None, None, None, None) for t in range(1000)]])
+    found = list(midi.event_batches(iter([pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(90)]), pa.array([one] * 90)], ["path", "content"])])))
+    assert sum(b.num_rows for b in found) == 90 * 1002
+    assert len(found) > 1 and max(b.num_rows for b in found) < midi.EVENTS + 1002
+
+
+def test_files_are_encoded_and_decoded_once(spark, sf_dir):
+    from tessitura.queries import QUERIES
+
+    for name in ("midi_probe", "midi_upload_problems", "midi_description", "midi_bytes_round_trip", "midi_acquisition_report"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "MapIn" not in plan and "PythonUDF" not in plan, name
