@@ -152,11 +152,14 @@ def permutation_drop(scored, vectors: DataFrame, features: list[int], repeats: i
     dealt among the rows anew. ``scored`` turns a DataFrame with ``vector`` into
     one with predicted_label; all shuffles are scored in one pass."""
     plan = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("again")) for f in features for r in range(repeats)]))
-    rows = vectors.withColumn("p", plan).select("*", "p.*").drop("p")
+    # Only single values are dealt; a row meets all of its new ones at once, so no vector is copied before it is scored.
+    cells = vectors.select("piece_id", plan.alias("p"), "vector").select("piece_id", "p.*", F.element_at("vector", F.col("p.feature") + 1).alias("_new"))
     key = Window.partitionBy("feature", "again")
-    own = rows.withColumn("_at", F.row_number().over(key.orderBy("piece_id")))
-    dealt = rows.select("feature", "again", F.row_number().over(key.orderBy(hash_bits(F.lit(seed), F.col("feature"), F.col("again"), F.col("piece_id")))).alias("_at"), F.element_at("vector", F.col("feature") + 1).alias("_new"))
-    swapped = own.join(dealt, ["feature", "again", "_at"]).withColumn("vector", F.transform("vector", lambda x, i: F.when(i == F.col("feature"), F.col("_new")).otherwise(x)))
+    own = cells.select("piece_id", "feature", "again", F.row_number().over(key.orderBy("piece_id")).alias("_at"))
+    dealt = cells.select("feature", "again", F.row_number().over(key.orderBy(hash_bits(F.lit(seed), F.col("feature"), F.col("again"), F.col("piece_id")))).alias("_at"), "_new")
+    new = own.join(dealt, ["feature", "again", "_at"]).groupBy("piece_id").agg(F.collect_list(F.struct("feature", "again", "_new")).alias("p"))
+    swapped = vectors.join(new, "piece_id").withColumn("p", F.explode("p")).select("*", "p.*").drop("p")
+    swapped = swapped.withColumn("vector", F.transform("vector", lambda x, i: F.when(i == F.col("feature"), F.col("_new")).otherwise(x)))
     base = scored(vectors).agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double")).alias("base"))
     each = scored(swapped).groupBy("feature", "again").agg(F.avg((F.col("predicted_label") == F.col(label)).cast("double")).alias("acc"))
     drops = each.join(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("acc"))
