@@ -201,7 +201,8 @@ def quantile_representatives(s):
 
 def _vectors(s):
     wide = features.composition_vector(s.note, s.meter, TPB)
-    return checkpoint(features.packed(wide, features.COMPOSITION_FEATURES).join(s.piece.select("piece_id", "composer", "fold"), "piece_id"))
+    labelled = features.packed(wide, features.COMPOSITION_FEATURES).join(s.piece.select("piece_id", "composer", "fold"), "piece_id")
+    return checkpoint(labelled.repartition("piece_id"))  # vectors are few bytes: as many partitions as those fill
 
 
 @query()
