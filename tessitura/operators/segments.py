@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
@@ -64,27 +64,39 @@ def grid(bars: DataFrame, key: str = "piece_id") -> DataFrame:
     return dealt.select(key, (F.col("bar_index") * STEPS_PER_BAR + F.col("k")).alias("step"), edge(F.col("k")).alias("cell_start"), edge(F.col("k") + 1).alias("cell_end"))
 
 
-def stitched(onsets: DataFrame, frames: DataFrame, cells: DataFrame, source: DataFrame, ends: DataFrame, key: str = "piece_id") -> DataFrame:
+def stitched(onsets: DataFrame, frames: DataFrame, bars: DataFrame, source: DataFrame, ends: DataFrame, key: str = "piece_id") -> DataFrame:
     """Notes of the segments of whole pieces, laid end to end.
 
-    ``onsets``, ``frames``: (key, pitch, step); ``cells``: the :func:`grid`. A
-    note begins at each onset and lasts until the next onset of its pitch, the
-    first cell without a frame, or the piece's end; notes without length go.
-    Its voice is the nearest source note's of that pitch, by distance, then
-    tick, then channel. Source notes out of range pass unchanged.
+    ``onsets``, ``frames``: (key, pitch, step), steps as in the :func:`grid` of
+    ``bars``. A note begins at each onset and lasts until the next onset of its
+    pitch, the first cell without a frame, or the piece's end; notes without
+    length go. Its voice is the nearest source note's of that pitch, by
+    distance, then tick, then channel. Source notes out of range pass unchanged.
     """
     marks = onsets.select(key, "pitch", "step", F.lit(1).alias("o"), F.lit(0).alias("f")).unionByName(frames.select(key, "pitch", "step", F.lit(0).alias("o"), F.lit(1).alias("f")))
     every = marks.groupBy(key, "pitch", "step").agg(F.max("o").alias("o"), F.max("f").alias("f"))
+    return decoded(every.where("f = 1"), bars, source, ends, key)
+
+
+def decoded(frames: DataFrame, bars: DataFrame, source: DataFrame, ends: DataFrame, key: str = "piece_id") -> DataFrame:
+    """As :func:`stitched`, of frames (key, pitch, step, o): ``o`` is 1 where an
+    onset is. Bars and cells are many times the rows that they are made of, so
+    that a join may broadcast them by mistake; bars are looked up as of their
+    index, and a bar tells the boundaries of its cells."""
+    from .meter import asof_last
+
+    at = bars.select(key, "bar_index", F.struct(F.col("bar_index").alias("i"), "bar_start", (F.col("bar_end") - F.col("bar_start")).alias("length")).alias("bar"))
+    every = asof_last(frames.select(key, "pitch", "step", "o", F.floor(F.col("step") / STEPS_PER_BAR).cast("int").alias("bar_index")), at, ["bar"], key, "bar_index")
+    edge = lambda k: F.col("bar.bar_start") + half_even(F.col("bar.length") * k / STEPS_PER_BAR)
+    k = F.col("step") - F.col("bar_index") * STEPS_PER_BAR
+    every = every.where("bar.i = bar_index").select(key, "pitch", "step", "o", edge(k).alias("tick"), edge(k + 1).alias("until"))
     w = Window.partitionBy(key, "pitch").orderBy("step")
     # A run of frames; a cell without one ends what sounds, an onset there too.
-    island = every.where("f = 1").withColumn("run", F.col("step") - F.row_number().over(w))
+    island = every.withColumn("run", F.col("step") - F.row_number().over(w))
     of_run = Window.partitionBy(key, "pitch", "run").orderBy("step")
     voiced = island.withColumn("note", F.sum("o").over(of_run.rowsBetween(Window.unboundedPreceding, 0))).where("note > 0")
-    spans = voiced.groupBy(key, "pitch", "run", "note").agg(F.min("step").alias("a"), F.max("step").alias("b"))
-    at = spans.join(cells.select(key, F.col("step").alias("a"), F.col("cell_start").alias("tick")), [key, "a"])
-    after = cells.select(key, (F.col("step") - 1).alias("b"), F.col("cell_start").alias("until"))
-    timed = at.join(after, [key, "b"], "left").join(ends, key)
-    timed = timed.withColumn("duration_ticks", F.coalesce("until", "end_tick") - F.col("tick")).where("duration_ticks > 0")
+    spans = voiced.groupBy(key, "pitch", "run", "note").agg(F.min("tick").alias("tick"), F.max("until").alias("until"))
+    timed = spans.join(ends, key).withColumn("duration_ticks", F.least("until", "end_tick") - F.col("tick")).where("duration_ticks > 0")
     inside = source.where(F.col("pitch").between(LOW, HIGH - 1))
     # The nearest source note: the last at or before, and the first after.
     voice = F.struct("at", "channel", "velocity")
@@ -115,6 +127,30 @@ def end_errors(notes: DataFrame, bars: DataFrame, key: str = "piece_id") -> Data
     return met.select(key, F.col("onset").alias("tick"), "pitch", "duration_ticks", (decoded - F.col("end")).alias("end_error"), (F.col("_l") / STEPS_PER_BAR).alias("start_step_width"), (F.col("bar_length") / STEPS_PER_BAR).alias("end_step_width"))
 
 
+def step_at(tick: Column, bar: Column) -> Column:
+    """The cell of a bar (i, bar_start, length) that holds ``tick``, as
+    :func:`grid` numbers and rounds; the last with ticks if it lies behind."""
+    d, length = F.least(tick - bar["bar_start"], bar["length"] - 1), bar["length"]
+    # The last k with half_even(length * k / 16) <= d; a tie goes to the even tick.
+    k, tie = F.floor((STEPS_PER_BAR * d + STEPS_PER_BAR // 2) / length), (STEPS_PER_BAR * d + STEPS_PER_BAR // 2) % length == 0
+    k = F.least(F.when(tie & (d % 2 == 1), k - 1).otherwise(k), F.lit(STEPS_PER_BAR - 1))
+    return (bar["i"] * STEPS_PER_BAR + k).cast("int")
+
+
+def frame_steps(notes: DataFrame, bars: DataFrame, key: str = "piece_id") -> DataFrame:
+    """As :func:`frame_cells` over the :func:`grid` of ``bars``, without it: a
+    note's bars are looked up, its cells follow from them."""
+    from .meter import asof_last
+
+    at = bars.select(key, F.col("bar_start").alias("tick"), F.struct(F.col("bar_index").alias("i"), "bar_start", (F.col("bar_end") - F.col("bar_start")).alias("length")).alias("bar"))
+    inside = notes.where(F.col("pitch").between(LOW, HIGH - 1) & (F.col("duration_ticks") > 0))
+    met = asof_last(inside.select(key, "pitch", "tick", (F.col("tick") + F.col("duration_ticks") - 1).alias("last")), at, ["bar"], key)
+    met = met.select(key, "pitch", step_at(F.col("tick"), F.col("bar")).alias("first"), F.col("last").alias("tick"))
+    met = asof_last(met, at, ["bar"], key).select(key, "pitch", "first", step_at(F.col("tick"), F.col("bar")).alias("last"))
+    dealt = met.select(key, "pitch", "first", F.explode(F.sequence("first", "last")).alias("step"))
+    return dealt.groupBy(key, "pitch", "step").agg(F.max(F.col("first") == F.col("step")).alias("onset"))
+
+
 def frame_cells(notes: DataFrame, cells: DataFrame, key: str = "piece_id") -> DataFrame:
     """(key, pitch, step): grid cells that begin before a note's end and end
     after its start, and those (with first) that hold an onset. The cells at

@@ -37,9 +37,8 @@ def frame_cells(s):
 )
 def segment_stitch(s):
     """Frames and onsets of whole pieces, decoded over segment borders."""
-    cells = segments.grid(_bars(s))
-    frames = segments.frame_cells(s.note, cells)
-    found = segments.stitched(frames.where("onset").select("piece_id", "pitch", "step"), frames.select("piece_id", "pitch", "step"), cells, s.note, intervals.end_ticks(s.note))
+    frames = segments.frame_steps(s.note, _bars(s)).withColumn("o", F.col("onset").cast("int"))
+    found = segments.decoded(frames, _bars(s), s.note, intervals.end_ticks(s.note))
     return found.select("piece_id", "tick", "channel", "pitch", "velocity", "duration_ticks")
 
 
