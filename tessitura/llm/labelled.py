@@ -1,4 +1,4 @@
-"""Bounded, reproducible samples of labelled documents for fitting classifiers."""
+"""Labelled documents for fitting classifiers: all of them, or reproducible samples."""
 
 from __future__ import annotations
 
@@ -11,6 +11,18 @@ def remainder(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, y) of every labelled row outside the held-out fold, one a doc_id.
+    Rows with a null doc_id or label are left out; doc_ids of any whole-number
+    type are read as long."""
+    return (
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+    )
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> tuple[DataFrame, float]:
     """At most ``most`` rows (doc_id, text, lang, y), half of each label where
     there are enough, outside the held-out fold; and label 1's share among all
@@ -18,12 +30,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     lowest, and of texts that repeat a doc_id the one that hashes lowest counts,
     so reruns agree however the tables are dealt. Rows with a null doc_id or
     label are left out; doc_ids of any whole-number type are read as long."""
-    known = (
-        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held))
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
+    known = labelled_ids(labels, label, folds, held)
     share = known.agg(F.avg("y")).first()[0]
     order = F.xxhash64("doc_id")
     halves = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most // 2) for y in (0, 1)]
