@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessitura.operators import digests
+from tessitura.operators import digests, selection
 
 
 def plain(ids):
@@ -38,3 +38,21 @@ def test_stale_digests_are_found(spark):
     tasks = spark.createDataFrame([("right", 1, "a", good), ("leak", 1, "a", whole), ("none", 1, "z", good), ("null", 1, "a", None)], "task_id string, fold int, target_label string, train_digest string")
     got = {tuple(r) for r in digests.stale_digests(tasks, samples, "label", "fold", "k").collect()}
     assert got == {("leak", "other training set"), ("none", "no training set"), ("null", "other training set")}
+
+
+def test_profiles_carry_the_hash_of_the_whole_sorted_list(spark):
+    rows = [(i, "abc"[i % 3], i % 4) for i in range(400)] + [(1000, "d", 2)]
+    samples = spark.createDataFrame(rows, "piece_id long, composer string, fold int")
+    long = samples.select("piece_id", F.lit(0).alias("idx"), F.lit(0.5).alias("value"))
+    want = {}
+    for label in "abcd":
+        for held in range(4):
+            ids = sorted(str(k) for k, lab, f in rows if lab == label and f != held)
+            if ids:
+                want[held, label] = hashlib.sha256(",".join(ids).encode()).hexdigest()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for d in (samples, samples.repartition(6), samples.orderBy(F.desc("piece_id"))):
+            assert {(r.fold, r.composer): r.fingerprint for r in selection.train_profiles(long, d).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
