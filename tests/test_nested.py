@@ -96,6 +96,27 @@ def test_forests_are_those_of_plain_trees(spark):
     assert {(r.forest, r.piece_id, r.label): r.p for r in again.collect()} == got
 
 
+def test_forests_grow_by_units_and_copy_no_vectors(spark, monkeypatch):
+    """Chunks and blocks of trees give the same trees as one unit, groups the same as their rows."""
+    rng = np.random.default_rng(9)
+    n, labels = 120, 3
+    y, x = rng.integers(0, labels, n), rng.integers(0, 8, (n, 5))
+    ready = spark.createDataFrame([(int(i), f"g{i % 10}", int(y[i]), x[i].tolist()) for i in range(n)], "piece_id long, group_id string, label int, bins array<tinyint>")
+    groups = spark.createDataFrame([(f"f{k}", f"g{g}", g % 3 != k) for k in range(3) for g in range(10)], "forest string, group_id string, is_train boolean")
+    settings = spark.createDataFrame([(f"f{k}", 3, 1 + k) for k in range(3)], "forest string, max_features int, min_leaf int")
+    members = groups.join(ready.select("piece_id", "group_id"), "group_id").select("forest", "piece_id", "is_train")
+
+    def grown(*more):
+        found, splits = forests.forest_predictions(ready, groups if more else members, settings, labels, 5, 2, 3, 4, "piece_id", *more)
+        return sorted(map(tuple, found.collect())), sorted(map(tuple, splits.collect()))
+
+    want = grown()
+    assert len(want[0]) == labels * sum(i % 10 % 3 == k for k in range(3) for i in range(n)) and len(want[1]) > 12
+    monkeypatch.setattr(forests, "CHUNK", 30)
+    monkeypatch.setattr(forests, "BLOCK", 2)
+    assert grown("group_id") == want
+
+
 def test_nested_folds_hold_groups_whole_and_labels_even(spark):
     rng = np.random.default_rng(6)
     rows = [(g, f"l{g % 3}", int(rng.integers(1, 9))) for g in range(60)] + [(g, f"l{(g + 1) % 3}", 2) for g in range(0, 60, 10)]
