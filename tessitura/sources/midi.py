@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,19 +78,28 @@ def checked_files(files: DataFrame) -> DataFrame:
 def event_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Events of (path, content): no batch passes :data:`EVENTS` by more than
     the events of one file, however many files come at once."""
-    rows: list[tuple] = []
+    names, sizes, held = [], [], []
     for batch in batches:
         for path, raw in zip(batch.column(0), batch.column(1), strict=True):
-            name = path.as_py()
             try:
-                rows += [(name, track, *event) for track, event in smf.decode(raw.as_py())[2]]
+                found = smf.decode(raw.as_py())[2]
             except smf.SmfError:
                 continue
-            if len(rows) >= EVENTS:
-                yield _batch(rows, _EVENT)
-                rows = []
-    if rows:
-        yield _batch(rows, _EVENT)
+            names.append(path.as_py())
+            sizes.append(len(found))
+            held += found
+            if len(held) >= EVENTS:
+                yield _events(names, sizes, held)
+                names, sizes, held = [], [], []
+    if held:
+        yield _events(names, sizes, held)
+
+
+def _events(names: list[str], sizes: list[int], held: list[tuple[int, smf.Event]]) -> pa.RecordBatch:
+    """(track, event) of files that have so many each, as a batch."""
+    path = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), sizes)))
+    columns = [[track for track, _ in held], *zip(*[event for _, event in held], strict=True)]
+    return pa.RecordBatch.from_arrays([path, *(pa.array(c, t) for c, t in zip(columns, list(_EVENT.values())[1:], strict=True))], list(_EVENT))
 
 
 def raw_events(files: DataFrame) -> DataFrame:
@@ -100,9 +112,8 @@ def notes_of(raw: DataFrame, key: str = "path") -> DataFrame:
     first in, first out by track, channel and pitch."""
     marked = raw.withColumn("d", F.when(F.col("kind") == "note_on", 1).when(F.col("kind") == "note_off", -1))
     stream = [key, "track", "channel", "data1"]
-    ends = raw.groupBy(key, "track").agg(F.max("tick").alias("_track_end"))
-    paired = events.pair_notes(marked.where("d IS NOT NULL").select(*stream, "seq", "tick", "data2", "d"), stream, [key, "track"])
-    met = paired.join(ends, [key, "track"])
+    ends = marked.groupBy(key, "track").agg(F.max("tick").alias("_track_end"), F.max(F.when(F.col("d").isNotNull(), F.col("tick"))).alias("_last"))
+    met = events.pair_notes(marked.where("d IS NOT NULL").select(*stream, "seq", "tick", "data2", "d"), stream, [key, "track"], ends=ends)
     length = F.when(F.col("end_seq").isNull(), F.col("_track_end") - F.col("tick")).otherwise(F.col("duration_ticks"))
     return met.select(key, "tick", "channel", F.col("data1").alias("pitch"), F.col("data2").alias("velocity"), length.alias("duration_ticks"))
 
@@ -203,21 +214,31 @@ def performance_warnings(raw: DataFrame, key: str = "path") -> DataFrame:
 def encoded(notes: DataFrame, meta: DataFrame, ticks_per_beat: int, smf_format: int = 1, key: str = "piece_id") -> DataFrame:
     """(key, content): a MIDI file per piece; format 1 has a track of meta
     events and one of notes. A piece's events are bounded and meet in one group."""
-    ordered = events.phased_events(notes, meta, key)
+    ordered = events.phased_events(notes.repartition(key), meta.repartition(key), key)
+
+    def rows(found: pa.Table) -> list[tuple]:
+        return list(zip(*(_values(found.column(c)) for c in ("tick", "kind", "channel", "pitch", "velocity", "tempo", "numerator", "denominator")), repeat(None)))
 
     def write(found: pa.Table) -> pa.Table:
-        columns = [found.column(c).to_pylist() for c in (*events.WRITE_ORDER, "tempo", "numerator", "denominator")]
-        low = lambda x: -1 if x is None else x
-        every = sorted(zip(*columns, strict=True), key=lambda r: (r[0], r[1], r[2], low(r[3]), low(r[4]), low(r[5])))
-        rows = [(tick, kind, channel, pitch, velocity if kind != "note_off" else 0, *meta, None) for tick, _, kind, channel, pitch, velocity, *meta in every]
-        head = [r for r in rows if r[1] in ("tempo", "time_signature", "key_signature")]
-        rest = [r for r in rows if r[1] not in ("tempo", "time_signature", "key_signature")]
-        content = smf.encode(0, ticks_per_beat, [rows]) if smf_format == 0 else smf.encode(1, ticks_per_beat, [head, rest])
+        every = found.sort_by([(c, "ascending") for c in events.WRITE_ORDER], null_placement="at_start")
+        silent = pc.if_else(pc.equal(every.column("kind"), "note_off"), pa.scalar(0, pa.int32()), every.column("velocity"))
+        every = every.set_column(every.column_names.index("velocity"), "velocity", silent)
+        head = pc.is_in(every.column("kind"), pa.array(["tempo", "time_signature", "key_signature"]))
+        tracks = [every] if smf_format == 0 else [every.filter(head), every.filter(pc.invert(head))]
+        content = smf.encode(0 if smf_format == 0 else 1, ticks_per_beat, [rows(t) for t in tracks])
         return pa.table({key: found.column(key).slice(0, 1), "content": pa.array([content], pa.binary())})
 
     return ordered.groupBy(key).applyInArrow(write, f"{key} {notes.schema[key].dataType.simpleString()}, content binary")
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """As ``to_pylist``, which makes an object of Arrow's for every value; here
+    only where some are null and some are not."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
+
 def write_midi(pieces: DataFrame, folder: str) -> None:
     """The sink: a file ``name`` with ``content`` per row, under ``folder`` of
     any store that the executors reach. Tasks overwrite what an attempt before

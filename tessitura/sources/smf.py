@@ -63,7 +63,11 @@ def _number(raw: bytes, at: int, end: int) -> tuple[int, int]:
 def track_events(raw: bytes, begin: int, end: int) -> Iterable[Event]:
     at, tick, status, seq = begin, 0, 0, 0
     while at < end:
-        delta, at = _number(raw, at, end)
+        delta = raw[at]
+        if delta < 0x80:
+            at += 1
+        else:
+            delta, at = _number(raw, at, end)
         tick += delta
         if at >= end:
             raise SmfError("event cut off", at)
@@ -72,7 +76,19 @@ def track_events(raw: bytes, begin: int, end: int) -> Iterable[Event]:
             at += 1
         elif status < 0x80:
             raise SmfError("no running status", at)
-        if status == 0xFF:
+        if status < 0xF0:  # of a channel, as most events are
+            kind = KINDS[status >> 4]
+            size = 1 if kind in ("program_change", "aftertouch") else 2
+            if at + size > end:
+                raise SmfError("event cut off", at)
+            a, b = raw[at], raw[at + 1] if size == 2 else None
+            at += size
+            if a > 127 or (b or 0) > 127:
+                raise SmfError("data byte out of range", at - size)
+            if kind == "note_on" and b == 0:
+                kind = "note_off"
+            yield seq, tick, kind, status & 0xF, a, b, None, None, None, None
+        elif status == 0xFF:
             if at >= end:
                 raise SmfError("event cut off", at)
             kind = raw[at]
@@ -100,17 +116,7 @@ def track_events(raw: bytes, begin: int, end: int) -> Iterable[Event]:
             status = 0
             continue
         else:
-            kind = KINDS.get(status >> 4)
-            size = 1 if kind in ("program_change", "aftertouch") else 2
-            if kind is None or at + size > end:
-                raise SmfError("event cut off", at)
-            a, b = raw[at], raw[at + 1] if size == 2 else None
-            at += size
-            if a > 127 or (b or 0) > 127:
-                raise SmfError("data byte out of range", at - size)
-            if kind == "note_on" and b == 0:
-                kind = "note_off"
-            yield seq, tick, kind, status & 0xF, a, b, None, None, None, None
+            raise SmfError("event cut off", at)
         seq += 1
 
 
@@ -134,13 +140,19 @@ def decode(raw: bytes) -> tuple[int, int, list[tuple[int, Event]]]:
 def _varlen(value: int) -> bytes:
     if value < 0:
         raise ValueError("ticks go back")
-    out = [value & 0x7F]
-    while value := value >> 7:
-        out.append(value & 0x7F | 0x80)
-    return bytes(reversed(out))
+    if value < 1 << 7:
+        return bytes((value,))
+    if value < 1 << 14:
+        return bytes((value >> 7 | 0x80, value & 0x7F))
+    return bytes(x | 0x80 for x in _varlen(value >> 7)) + bytes((value & 0x7F,))
 
 
 def _message(kind: str, channel, data1, data2, tempo, numerator, denominator, text) -> bytes:
+    if kind in STATUS:
+        status = STATUS[kind] << 4 | int(channel)
+        if kind in ("program_change", "aftertouch"):
+            return bytes((status, int(data1)))
+        return bytes((status, int(data1), int(data2 or 0)))
     if kind == "tempo":
         return b"\xff\x51\x03" + int(tempo).to_bytes(3, "big")
     if kind == "time_signature":
@@ -149,10 +161,7 @@ def _message(kind: str, channel, data1, data2, tempo, numerator, denominator, te
         tonic, mode = text.split(" ")
         keys = MINOR_KEYS if mode == "minor" else MAJOR_KEYS
         return bytes((0xFF, 0x59, 2, (keys.index(tonic) - 7) % 256, int(mode == "minor")))
-    status = STATUS[kind] << 4 | int(channel)
-    if kind in ("program_change", "aftertouch"):
-        return bytes((status, int(data1)))
-    return bytes((status, int(data1), int(data2 or 0)))
+    raise KeyError(kind)
 
 
 def encode(kind: int, division: int, tracks: list[list[tuple]]) -> bytes:
@@ -163,9 +172,11 @@ def encode(kind: int, division: int, tracks: list[list[tuple]]) -> bytes:
     out = [b"MThd" + struct.pack(">IHHH", 6, kind, len(tracks), division)]
     for track in tracks:
         body, last = bytearray(), 0
-        for tick, *event in track:
-            body += _varlen(int(tick) - last) + _message(*event)
-            last = int(tick)
+        for at, *event in track:
+            tick = int(at)
+            body += _varlen(tick - last)
+            body += _message(*event)
+            last = tick
         body += b"\x00\xff\x2f\x00"
         out.append(b"MTrk" + struct.pack(">I", len(body)) + bytes(body))
     return b"".join(out)
