midi_meta_round_trip: only the kinds that are asked for leave the decoder

Symptom: midi_meta_round_trip took 2188 CPU seconds a GB in the profiler: JVM 637, Python 1488, GC 48; 34 MB shuffled.
Evidence: 20 s of tasks went into encoding for 4 s of JVM CPU; decoding then made 1,204,666 rows of events for 2,666 that are meta events, the rest being dropped after the way from Python to the JVM.
Fix: raw_events takes kinds of events and the query names those of meta_of, so every file is still decoded to its end but only these become rows; the encoding is that of the commit before, which this query shares.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1764 -> 1016 s, shuffle 2.12 -> 0.81 GB, spill 0.00 -> 0.00 GB, read 1.38 -> 0.83 GB, longest task 39 -> 16 s, most memory of a task 403 -> 84 MB; at 6 GB of input CPU 11536 -> 5003 s, shuffle 13.14 -> 5.04 GB, spill 0.00 -> 0.00 GB, read 9.55 -> 5.58 GB, longest task 160 -> 56 s, most memory of a task 403 -> 403 MB.

@@ -83,7 +83,7 @@ def midi_events_lateral(s):
 
 @query("SELECT piece_id, tick, 'tempo' AS kind, tempo, NULL::INTEGER AS numerator, NULL::INTEGER AS denominator FROM tempo UNION ALL SELECT piece_id, tick, 'time_signature', NULL, numerator, denominator FROM meter")
 def midi_meta_round_trip(s):
-    return _id(midi.meta_of(midi.raw_events(_bytes(s)))).select("piece_id", "tick", "kind", "tempo", "numerator", "denominator")
+    return _id(midi.meta_of(midi.raw_events(_bytes(s), midi.META_KINDS))).select("piece_id", "tick", "kind", "tempo", "numerator", "denominator")
 
 
 @query("SELECT format('{:05d}.{}', piece_id, CASE WHEN piece_id % 2 = 0 THEN 'mid' ELSE 'midi' END) AS name, true AS whole FROM piece WHERE fold = 1")

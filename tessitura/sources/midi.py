@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -75,9 +76,10 @@ def checked_files(files: DataFrame) -> DataFrame:
     return summaries(files).select("path", "ok", "error", "error_offset", "smf_format", "ticks_per_beat", "tracks")
 
 
-def event_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events of (path, content): no batch passes :data:`EVENTS` by more than
-    the events of one file, however many files come at once."""
+def event_batches(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Events of (path, content), of some ``kinds`` if they are named: no batch
+    passes :data:`EVENTS` by more than the events of one file, however many
+    files come at once."""
     names, sizes, held = [], [], []
     for batch in batches:
         for path, raw in zip(batch.column(0), batch.column(1), strict=True):
@@ -85,6 +87,8 @@ def event_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 found = smf.decode(raw.as_py())[2]
             except smf.SmfError:
                 continue
+            if kinds:
+                found = [(track, event) for track, event in found if event[2] in kinds]
             names.append(path.as_py())
             sizes.append(len(found))
             held += found
@@ -102,9 +106,10 @@ def _events(names: list[str], sizes: list[int], held: list[tuple[int, smf.Event]
     return pa.RecordBatch.from_arrays([path, *(pa.array(c, t) for c, t in zip(columns, list(_EVENT.values())[1:], strict=True))], list(_EVENT))
 
 
-def raw_events(files: DataFrame) -> DataFrame:
-    """Events of the files that decode, one row each, absolute ticks."""
-    return files.select("path", "content").mapInArrow(event_batches, RAW_EVENT)
+def raw_events(files: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the files that decode, one row each, absolute ticks. Every file
+    is decoded to its end; where ``kinds`` are named, only theirs become rows."""
+    return files.select("path", "content").mapInArrow(partial(event_batches, kinds=kinds), RAW_EVENT)
 
 
 def notes_of(raw: DataFrame, key: str = "path") -> DataFrame:
@@ -118,9 +123,12 @@ def notes_of(raw: DataFrame, key: str = "path") -> DataFrame:
     return met.select(key, "tick", "channel", F.col("data1").alias("pitch"), F.col("data2").alias("velocity"), length.alias("duration_ticks"))
 
 
+#: Kinds of events that :func:`meta_of` tells of.
+META_KINDS = ("tempo", "time_signature", "key_signature", "program_change")
+
+
 def meta_of(raw: DataFrame, key: str = "path") -> DataFrame:
-    kinds = ("tempo", "time_signature", "key_signature", "program_change")
-    return raw.where(F.col("kind").isin(*kinds)).select(key, "tick", "kind", "tempo", "numerator", "denominator", "text", F.when(F.col("kind") == "program_change", F.col("data1")).alias("program"), F.when(F.col("kind") == "program_change", F.col("channel")).alias("channel"))
+    return raw.where(F.col("kind").isin(*META_KINDS)).select(key, "tick", "kind", "tempo", "numerator", "denominator", "text", F.when(F.col("kind") == "program_change", F.col("data1")).alias("program"), F.when(F.col("kind") == "program_change", F.col("channel")).alias("channel"))
 
 
 def probe(files: DataFrame) -> DataFrame:

@@ -72,3 +72,31 @@ def test_batches_name_each_event_by_its_file():
     assert found.column("kind").to_pylist() == ["tempo", "note_on", "end_of_track"] * 2
     assert found.column("channel").to_pylist() == [None, 2, None] * 2 and found.column("seq").to_pylist() == [0, 1, 2] * 2
     assert found.schema.names == [f.name for f in midi.RAW_EVENT]
+
+
+def test_events_of_named_kinds_alone_become_rows(spark):
+    track = [(0, "tempo", None, None, None, 500000, None, None, None), (3, "note_on", 2, 60, 7, None, None, None, None), (3, "program_change", 2, 5, None, None, None, None, None)]
+    whole = smf.encode(1, 480, [track[:1], track])
+    torn = whole[:-3] + b"\xff\x51\x09"  # its last event goes past the end, after a tempo
+    files = spark.createDataFrame([("a", whole), ("b", torn), (None, whole), ("d", smf.encode(0, 480, [[]]))], "path string, content binary")
+    found = midi.raw_events(files, midi.META_KINDS)
+    assert {r.kind for r in found.collect()} == {"tempo", "program_change"}
+    every = Counter(midi.meta_of(midi.raw_events(files)).collect())
+    assert Counter(midi.meta_of(found).collect()) == every and sum(every.values()) == 6
+
+
+def test_meta_events_leave_the_decoder_without_notes(spark, sf_dir):
+    from tessitura.queries import QUERIES
+
+    seen, raw_events = [], midi.raw_events
+
+    def counted(files, *kinds):
+        seen.append(raw_events(files, *kinds))
+        return seen[-1]
+
+    midi.raw_events = counted
+    try:
+        found = QUERIES["midi_meta_round_trip"](spark, sf_dir)
+    finally:
+        midi.raw_events = raw_events
+    assert seen[0].count() == found.count() > 0
